@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from corpuscle.session import ship_package
+
 
 def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to the named columns of each Arrow batch.
@@ -17,6 +19,7 @@ def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, l
     are pruned before the scan. ``fn`` returns one list per output column, all of one length, which
     may differ from the input's (a flat map). An empty batch yields an empty batch.
     """
+    ship_package(df.sparkSession)
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     names = kind.fieldNames()
 

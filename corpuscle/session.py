@@ -19,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers of a real cluster (once per application).
+    """Send this package to the Python workers, once per application.
 
-    In local modes the workers share the driver's import path and nothing is sent.
+    Workers do not share the driver's ``sys.path``; on a cluster they do not share its disk either.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"

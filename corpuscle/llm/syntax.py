@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions.arrow import map_columns
 from corpuscle.llm.grammars import check, syntax_of
-from corpuscle.session import ship_package, spread
+from corpuscle.session import spread
 
 _SCHEMA = "repo_path string, path string, language string, valid boolean, position bigint, line bigint, cause string"
 
@@ -32,7 +32,6 @@ def syntax_verdicts(sources: DataFrame) -> DataFrame:
     its null (repo_path). Empty program texts are valid, an empty JSON text is not. An empty table
     gives an empty result. Contents are read once, in place; only verdicts are shuffled.
     """
-    ship_package(sources.sparkSession)
     wanted = sources.select("repo_path", "path", "content").filter(F.col("content").isNotNull() & F.lower("path").rlike(r"\.(py|jsx?|ts|go|java|json)$"))
     return map_columns(spread(wanted), ["repo_path", "path", "content"], _judge, _SCHEMA).distinct()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import syntax
+from corpuscle.llm import leakage, syntax, tokenize
 from corpuscle.session import table
 
 QUERIES: dict = {}
@@ -24,3 +24,21 @@ def p4_found(spark, sf_dir):
 def p4_rates(spark, sf_dir):
     """Rates of invalid files by repository and language."""
     return syntax.invalid_rates(table(spark, sf_dir, "sources"), table(spark, sf_dir, "parsed_files"))
+
+
+@_query
+def p8_ids(spark, sf_dir):
+    """Token ids of every document."""
+    return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@_query
+def p9_found(spark, sf_dir):
+    """Documents with the evaluation items that they leak."""
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@_query
+def p9_report(spark, sf_dir):
+    """Leaks by evaluation item."""
+    return leakage.leaked_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))

@@ -53,6 +53,6 @@ def invalid_rates(sources: DataFrame, parsed_files: DataFrame) -> DataFrame:
         verdicts.join(named, ["repo_path", "path"], "left")
         .withColumn("language", F.when(F.col("named").isin(known), F.col("named")).otherwise(F.col("suffix_language")))
         .groupBy("repo_path", "language")
-        .agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"), F.mode("cause").alias("main_cause"))
+        .agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"), F.mode("cause", True).alias("main_cause"))
         .withColumn("rate", F.round(F.col("invalid") / F.col("files"), 6))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import leakage, syntax, tokenize
+from corpuscle.llm import leakage, mojibake, syntax, tokenize
 from corpuscle.session import table
 
 QUERIES: dict = {}
@@ -42,3 +42,15 @@ def p9_found(spark, sf_dir):
 def p9_report(spark, sf_dir):
     """Leaks by evaluation item."""
     return leakage.leaked_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@_query
+def p7_found(spark, sf_dir):
+    """Files with at least one garbled line."""
+    return mojibake.garbled_files(table(spark, sf_dir, "sources")).select("repo_path", "path").distinct()
+
+
+@_query
+def p7_restored(spark, sf_dir):
+    """Garbled files with the predicted chain and the restored content."""
+    return mojibake.garbled_files(table(spark, sf_dir, "sources")).distinct()

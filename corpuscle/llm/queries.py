@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import leakage, mojibake, syntax, tokenize
+from corpuscle.llm import leakage, mojibake, secrets, syntax, tokenize
 from corpuscle.session import table
 
 QUERIES: dict = {}
@@ -54,3 +54,20 @@ def p7_found(spark, sf_dir):
 def p7_restored(spark, sf_dir):
     """Garbled files with the predicted chain and the restored content."""
     return mojibake.garbled_files(table(spark, sf_dir, "sources")).distinct()
+
+
+def _secrets(spark, sf_dir):
+    return secrets.secrets_in(table(spark, sf_dir, "sources"), table(spark, sf_dir, "chunks"))
+
+
+@_query
+def p6_found(spark, sf_dir):
+    """Lines of sources and chunks on which a secret starts."""
+    return _secrets(spark, sf_dir).select("tbl", "rec_key", "line_no").distinct()
+
+
+@_query
+def p6_redacted(spark, sf_dir):
+    """Contents that hold secrets, with only the secrets replaced."""
+    found = _secrets(spark, sf_dir)
+    return found.filter("redacted is not null").select("tbl", "rec_key", "redacted").distinct()

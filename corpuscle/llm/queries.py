@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import leakage, mojibake, secrets, syntax, tokenize
+from corpuscle.llm import handwritten, leakage, mojibake, secrets, syntax, tokenize
 from corpuscle.session import table
 
 QUERIES: dict = {}
@@ -71,3 +71,15 @@ def p6_redacted(spark, sf_dir):
     """Contents that hold secrets, with only the secrets replaced."""
     found = _secrets(spark, sf_dir)
     return found.filter("redacted is not null").select("tbl", "rec_key", "redacted").distinct()
+
+
+@_query
+def p3_found(spark, sf_dir):
+    """Files that are generated, minified, third-party copies or blocks of data."""
+    return handwritten.file_kinds(table(spark, sf_dir, "sources")).select("repo_path", "path")
+
+
+@_query
+def p3_kinds(spark, sf_dir):
+    """The same files with the kind of each."""
+    return handwritten.file_kinds(table(spark, sf_dir, "sources"))

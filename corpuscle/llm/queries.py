@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import handwritten, leakage, mojibake, secrets, syntax, tokenize
+from corpuscle.llm import docpairs, handwritten, leakage, mojibake, secrets, syntax, tokenize
 from corpuscle.session import table
 
 QUERIES: dict = {}
@@ -83,3 +83,15 @@ def p3_found(spark, sf_dir):
 def p3_kinds(spark, sf_dir):
     """The same files with the kind of each."""
     return handwritten.file_kinds(table(spark, sf_dir, "sources"))
+
+
+@_query
+def p5_found(spark, sf_dir):
+    """Functions with documentation that is not trivial."""
+    return docpairs.documented_functions(table(spark, sf_dir, "sources")).select("repo_path", "path", "name", "start_line").distinct()
+
+
+@_query
+def p5_pairs(spark, sf_dir):
+    """Code and description of each such function."""
+    return docpairs.documented_functions(table(spark, sf_dir, "sources")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import docpairs, handwritten, leakage, mojibake, secrets, syntax, tokenize
+from corpuscle.llm import docpairs, handwritten, leakage, mojibake, secrets, splitting, syntax, tokenize
 from corpuscle.session import table
 
 QUERIES: dict = {}
@@ -95,3 +95,19 @@ def p5_found(spark, sf_dir):
 def p5_pairs(spark, sf_dir):
     """Code and description of each such function."""
     return docpairs.documented_functions(table(spark, sf_dir, "sources")).distinct()
+
+
+@_query
+def p2_found(spark, sf_dir):
+    """Elements that must be cut."""
+    return splitting.oversized(table(spark, sf_dir, "elements"))
+
+
+@_query
+def p2_pieces(spark, sf_dir):
+    """The pieces of classes, functions and methods, as new chunks."""
+    elements = table(spark, sf_dir, "elements").filter("type in ('class', 'function', 'method')")
+    return splitting.piece_chunks(splitting.split_oversized(elements)).distinct()
+
+
+ORACLE_SQL["p2_found"] = "SELECT DISTINCT repo_path, path, name, start_line FROM elements WHERE length(content) > 2000"

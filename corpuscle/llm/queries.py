@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import docpairs, handwritten, leakage, mojibake, secrets, splitting, syntax, tokenize
+from pyspark.sql import functions as F
+
+from corpuscle.llm import docpairs, handwritten, leakage, mojibake, neighbours, secrets, splitting, syntax, tokenize
 from corpuscle.session import table
 
 QUERIES: dict = {}
@@ -111,3 +113,16 @@ def p2_pieces(spark, sf_dir):
 
 
 ORACLE_SQL["p2_found"] = "SELECT DISTINCT repo_path, path, name, start_line FROM elements WHERE length(content) > 2000"
+
+
+@_query
+def p1_found(spark, sf_dir):
+    """Pairs of chunks of which one is among the five nearest of the other."""
+    return neighbours.neighbour_pairs(table(spark, sf_dir, "vector_store"))
+
+
+@_query
+def p1_neighbours(spark, sf_dir):
+    """The five nearest chunks of every chunk, with distance and rank."""
+    near = neighbours.nearest_neighbours(table(spark, sf_dir, "vector_store"))
+    return near.withColumn("distance", F.round("distance", 6))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscle.llm import docpairs, handwritten, leakage, mojibake, neighbours, secrets, splitting, syntax, tokenize
+from corpuscle.llm import docpairs, handwritten, leakage, mojibake, neighbours, secrets, splitting, syntax, tokenize, toxicity
 from corpuscle.session import table
 
 QUERIES: dict = {}
@@ -126,3 +126,23 @@ def p1_neighbours(spark, sf_dir):
     """The five nearest chunks of every chunk, with distance and rank."""
     near = neighbours.nearest_neighbours(table(spark, sf_dir, "vector_store"))
     return near.withColumn("distance", F.round("distance", 6))
+
+
+@_query
+def p10_found(spark, sf_dir):
+    """Documents with at least one abusive, threatening, hateful or sexually explicit remark."""
+    got = toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return got.filter("toxic and doc_id is not null").select("doc_id").distinct()
+
+
+@_query
+def p10_scores(spark, sf_dir):
+    """The score of every document."""
+    got = toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+    return got.select("doc_id", "source", F.round("score", 6).alias("score")).distinct()
+
+
+@_query
+def p10_rates(spark, sf_dir):
+    """Rates of such documents by source."""
+    return toxicity.toxic_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))

@@ -25,7 +25,7 @@ from corpuscle.session import checkpoint, ship_package, spread
 
 K = 5
 #: Vectors of a list on average, most lists, lists visited by a query, vectors in a group, queries in a task.
-PER_LIST, MOST_LISTS, PROBES, GROUP, QUERIES = 256, 4096, 20, 30_000, 60_000
+PER_LIST, MOST_LISTS, PROBES, GROUP, QUERIES = 256, 4096, 6, 60_000, 120_000
 #: Training sample for each embedder (rows by hash), subspaces, codewords, candidates ranked exactly.
 SAMPLE, SUBSPACES, CODEWORDS, RERANK = 40_000, 8, 256, 200
 _BLOCK = 1024

@@ -12,6 +12,7 @@ group meet in one task, and only the best of each group are merged.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from corpuscle.session import checkpoint, ship_package, spread
+from corpuscle.session import ship_package, spread
 
 K = 5
 #: Vectors of a list on average, most lists, lists visited by a query, vectors in a group, queries in a task.
-PER_LIST, MOST_LISTS, PROBES, GROUP, QUERIES = 256, 4096, 6, 60_000, 120_000
+PER_LIST, MOST_LISTS, PROBES, GROUP, QUERIES = 256, 4096, 12, 40_000, 120_000
+#: A list is visited only if its centroid is at most this many times as far (squared) as the nearest one.
+REACH = 1.2
 #: Training sample for each embedder (rows by hash), subspaces, codewords, candidates ranked exactly.
 SAMPLE, SUBSPACES, CODEWORDS, RERANK = 40_000, 8, 256, 200
 _BLOCK = 1024
@@ -48,19 +51,22 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return c
 
 
-def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of the n nearest rows of ``c`` for each row of ``x``, nearest first."""
+def nearest(x: np.ndarray, c: np.ndarray, n: int, distances: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Numbers of the n nearest rows of ``c`` for each row of ``x``, nearest first; with their squared distances if asked."""
     n = min(n, len(c))
     half = 0.5 * (c * c).sum(1)
     out = np.empty((len(x), n), dtype=np.int32)
+    far = np.empty((len(x), n), dtype=np.float32) if distances else None
     for a in range(0, len(x), 4096):
         s = half - x[a : a + 4096] @ c.T
-        if n == 1:
+        if n == 1 and not distances:
             out[a : a + 4096, 0] = s.argmin(1)
         else:
             top = np.argpartition(s, n - 1, axis=1)[:, :n]
             out[a : a + 4096] = np.take_along_axis(top, np.take_along_axis(s, top, 1).argsort(1), 1)
-    return out
+            if distances:
+                far[a : a + 4096] = np.maximum(2 * np.take_along_axis(s, out[a : a + 4096], 1) + (x[a : a + 4096] ** 2).sum(1)[:, None], 0)
+    return (out, far) if distances else out
 
 
 class Index:
@@ -160,11 +166,11 @@ def _from_binary(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype)
 
 
-_ASSIGNED = "space string, rep string, many boolean, list int, vector binary, probes binary"
-_SENT = "space string, rep string, many boolean, list int, vector binary, probes binary, task string"
-_COUNTED = "space string, task int, n bigint"
-_SMALLEST = "space string, rep string, ids array<string>"
-_NEAR = "space string, rep string, many boolean, near array<struct<d:double,id:string,many:boolean>>"
+_STATS = "space int, list int, homes bigint, asks bigint"
+_SENT = "task bigint, space int, mark bigint, ids array<string>, list int, vector binary, probes binary"
+_SOLVED = "space int, mark bigint, ids array<string>, near binary"
+_COPIES = "space string, mark bigint, ids array<string>"
+_NEAR = "space string, chunk_id string, neighbour string, distance double, rank int"
 
 
 def _arrow(columns: str) -> pa.Schema:
@@ -191,183 +197,209 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
     spaces = {r[0]: r[1] for r in base.groupBy("space").count().limit(10_001).collect()}
     if len(spaces) > 10_000:
         raise ValueError("more than 10,000 embedders: search them in several calls")
-    distinct = base.groupBy("space", "mark").agg(F.min("chunk_id").alias("rep"), F.max("chunk_id").alias("far"), F.first("vector").alias("vector"))
-    kind = _parse_datatype_string("embedder_id string, chunk_id string, neighbour string, distance double, rank int")
     if not spaces:
-        return spark.createDataFrame([], kind)
-    models: dict[str, Index] = {}
-    share = F.lit(1.0)
-    for space, n in spaces.items():
-        share = F.when(F.col("space") == space, F.lit(min(1.0, SAMPLE / n))).otherwise(share)
-    drawn = base.filter(F.pmod(F.xxhash64("mark", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)).select("space", "mark", "vector").dropDuplicates(["space", "mark"])
-    for space, n in spaces.items():
-        got = drawn.filter(F.col("space") == space).select("vector").limit(2 * SAMPLE).toArrow()
-        models[space] = Index(_unit(got.column(0).combine_chunks()), min(MOST_LISTS, max(1, math.ceil(n / PER_LIST)), max(1, got.num_rows // 8)))
-    sent = spark.sparkContext.broadcast(models)  # at most MOST_LISTS centroids an embedder
-    visits = probes
-
-    assigned_schema, counted_schema, sent_schema, near_schema = (_arrow(c) for c in (_ASSIGNED, _COUNTED, _SENT, _NEAR))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return spark.createDataFrame([], "embedder_id string, chunk_id string, neighbour string, distance double, rank int")
+    names = sorted(spaces)
+    models: list[Index] = []
+    for space in names:
+        n = spaces[space]
+        share = int(min(1.0, SAMPLE / n) * (1 << 30))
+        drawn = base.filter((F.col("space") == space) & (F.pmod(F.xxhash64("mark", F.lit(11)), F.lit(1 << 30)) < share))
+        got = drawn.dropDuplicates(["mark"]).select("vector").limit(2 * SAMPLE).toArrow()
+        if not got.num_rows:
+            got = base.filter(F.col("space") == space).select("vector").limit(1000).toArrow()
+        models.append(Index(_unit(got.column(0).combine_chunks()), min(MOST_LISTS, max(1, math.ceil(n / PER_LIST)), max(1, got.num_rows // 8))))
+    sent = spark.sparkContext.broadcast((names, models))  # at most MOST_LISTS centroids an embedder
+    stats_schema, sent_schema, solved_schema, near_schema = (_arrow(c) for c in (_STATS, _SENT, _SOLVED, _NEAR))
+
+    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[list[str]], np.ndarray, list[np.ndarray]]]:
+        """(space, marks, smallest ids, unit vectors, lists to visit) of each batch, equal vectors folded."""
+        number = {n: i for i, n in enumerate(sent.value[0])}
         for batch in batches:
             space = np.array(batch.column("space").to_pylist(), dtype=object)
             for name in dict.fromkeys(space):
-                rows = pa.array(np.flatnonzero(space == name))
-                part = batch.take(rows)
-                x = _unit(part.column("vector"))
-                near = nearest(x, sent.value[name].centroids, visits)
-                rep, far = part.column("rep").to_pylist(), part.column("far").to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(rep), pa.array([a != b for a, b in zip(rep, far)]), pa.array(near[:, 0]), _binary(x), _binary(near)], schema=assigned_schema)
-
-    assigned = checkpoint(distinct.mapInArrow(assign, _ASSIGNED))
-    sizes = {(r[0], r[1]): r[2] for r in assigned.groupBy("space", "list").count().collect()}  # at most MOST_LISTS rows an embedder
-    groups = _pack(models, sizes)
-    packed = spark.sparkContext.broadcast(groups)
-
-    def tasks_of(name: str, rep: str, own: int, near: np.ndarray) -> tuple[int, list[int]]:
-        lists, spread_over, _ = packed.value[name]
-        n = spread_over[own]
-        home = int(lists[own]) + (_bucket(rep, n) if n > 1 else 0)
-        visit = sorted({int(lists[c]) + b for c in near for b in range(spread_over[c]) if lists[c] >= 0})
-        return home, visit
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], int] = {}
-        for batch in batches:
-            names, reps, own = (batch.column(c).to_pylist() for c in ("space", "rep", "list"))
-            for name, rep, c, p in zip(names, reps, own, batch.column("probes").to_pylist()):
-                for t in tasks_of(name, rep, c, np.frombuffer(p, dtype=np.int32))[1]:
-                    total[name, t] = total.get((name, t), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in total], pa.string()), pa.array([t for _, t in total], pa.int32()), pa.array(list(total.values()), pa.int64())], schema=counted_schema)
-
-    asked = {(r[0], r[1]): r[2] for r in assigned.select("space", "rep", "list", "probes").mapInArrow(count, _COUNTED).groupBy("space", "task").agg(F.sum("n")).collect()}
-    shares = spark.sparkContext.broadcast({key: math.ceil(n / QUERIES) for key, n in asked.items()})
+                part = batch.take(pa.array(np.flatnonzero(space == name)))
+                marks, first, fold = np.unique(part.column("mark").to_numpy(), return_index=True, return_inverse=True)
+                ids: list[list[str]] = [[] for _ in marks]
+                for j, c in zip(fold, part.column("chunk_id").to_pylist()):
+                    if len(ids[j]) < 4 * k:
+                        ids[j].append(c)
+                    else:
+                        ids[j] = sorted({*ids[j], c})[: k + 1]
+                x = _unit(part.column("vector").take(pa.array(first)))
+                index = sent.value[1][number[name]]
+                near, far = nearest(x, index.centroids, probes, distances=True)
+                visit = [c[d <= REACH * d[0] + 1e-9] for c, d in zip(near, far)]
+                yield number[name], marks, [sorted(set(v))[: k + 1] for v in ids], x, visit
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes: dict[tuple[int, int], int] = {}
+        asks: dict[tuple[int, int], int] = {}
+        for s, _, _, _, visit in prepared(batches):
+            own, n = np.unique([c[0] for c in visit], return_counts=True)
+            for c, m in zip(own, n):
+                homes[s, int(c)] = homes.get((s, int(c)), 0) + int(m)
+            every, n = np.unique(np.concatenate(visit), return_counts=True)
+            for c, m in zip(every, n):
+                asks[s, int(c)] = asks.get((s, int(c)), 0) + int(m)
+        keys = sorted(asks)
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()), pa.array([homes.get(key, 0) for key in keys], pa.int64()), pa.array([asks[key] for key in keys], pa.int64())], schema=stats_schema)
+
+    rows = spread(base.select("space", "mark", "chunk_id", "vector"))
+    stats = rows.mapInArrow(measure, _STATS).groupBy("space", "list").agg(F.sum("homes"), F.sum("asks")).collect()  # at most MOST_LISTS rows an embedder
+    packed = spark.sparkContext.broadcast(_pack(models, {(r[0], r[1]): r[2] for r in stats}, {(r[0], r[1]): r[3] for r in stats}))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for s, marks, ids, x, visit in prepared(batches):
+            first, over, parts, base_task = packed.value[s]
             at: list[int] = []
+            tasks: list[int] = []
+            own: list[list[str] | None] = []
             lists: list[int | None] = []
-            tasks: list[str] = []
             asks: list[bytes | None] = []
-            names, reps, own = (batch.column(c).to_pylist() for c in ("space", "rep", "list"))
-            for i, (name, rep, c, p) in enumerate(zip(names, reps, own, batch.column("probes").to_pylist())):
-                home, visit = tasks_of(name, rep, c, np.frombuffer(p, dtype=np.int32))
-                for t in {home, *visit}:
-                    parts = shares.value.get((name, t), 1)
-                    mine = _bucket(rep, parts) if t in visit else -1
-                    for part in range(parts) if t == home else [mine]:
+            for i, (mark, c) in enumerate(zip(marks.tolist(), visit)):
+                h = _mix(mark)
+                home = int(first[c[0]]) + h % over[c[0]]
+                want = {int(first[j]) + b for j in c for b in range(over[j])}
+                for t in {home, *want}:
+                    mine = (h >> 20) % parts[t] if t in want else -1
+                    for part in range(parts[t]) if t == home else (mine,):
                         at.append(i)
-                        tasks.append(f"{name}/{t}/{part}")
-                        lists.append(c if t == home else None)
-                        asks.append(p if part == mine else None)
-            part = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("space"), part.column("rep"), part.column("many"), pa.array(lists, pa.int32()), part.column("vector"), pa.array(asks, pa.binary()), pa.array(tasks, pa.string())], schema=sent_schema)
-
-    keep = k + 1
+                        tasks.append((base_task + t) * 4096 + part)
+                        own.append(ids[i] if t == home else None)
+                        lists.append(int(c[0]) if t == home else None)
+                        asks.append(c.tobytes() if part == mine else None)
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array(np.full(len(at), s, dtype=np.int32)), pa.array(marks[at], pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array(lists, pa.int32()), _binary(x).take(pa.array(at, pa.int64())), pa.array(asks, pa.binary())], schema=sent_schema)
 
     def solve(table: pa.Table) -> pa.Table:
-        name = table.column("space")[0].as_py()
-        index = sent.value[name]
-        lists = table.column("list").to_numpy(zero_copy_only=False)
-        entry = np.flatnonzero(~np.isnan(lists.astype(np.float64)))
+        s = table.column("space")[0].as_py()
+        index = sent.value[1][s]
+        marks = table.column("mark").to_numpy()
+        entry = np.flatnonzero(np.asarray(table.column("list").is_valid()))
         asks = np.flatnonzero(np.asarray(table.column("probes").is_valid()))
-        if not len(entry) or not len(asks):
-            return pa.Table.from_pylist([], schema=near_schema)
+        entry = entry[np.argsort(marks[entry], kind="stable")]
+        unique, first = np.unique(marks[entry], return_index=True)
+        ids = table.column("ids").take(pa.array(entry)).to_pylist()
+        if len(unique) < len(entry):  # equal vectors from several batches
+            ends = np.r_[first[1:], len(entry)]
+            ids = [ids[a] if e - a == 1 else sorted({c for v in ids[a:e] for c in v})[: k + 1] for a, e in zip(first, ends)]
+            entry = entry[first]
+        asks = asks[np.unique(marks[asks], return_index=True)[1]]
+        if not len(asks) or not len(entry):
+            return pa.Table.from_pylist([], schema=solved_schema)
         x = _from_binary(table.column("vector"), np.float32).reshape(-1, index.width)
         wanted = [np.frombuffer(p, dtype=np.int32) for p in table.column("probes").take(pa.array(asks)).to_pylist()]
-        rows, dist = search_group(index, x[entry], lists[entry].astype(np.int64), x[asks], wanted, keep)
-        rep = np.array(table.column("rep").to_pylist(), dtype=object)
-        many = np.array(table.column("many").to_pylist(), dtype=bool)
-        hit = rows >= 0
-        flat = entry[rows[hit]]
-        own = rep[flat] == np.repeat(rep[asks], hit.sum(1))
-        counts = hit.sum(1) - np.bincount(np.repeat(np.arange(len(asks)), hit.sum(1))[own], minlength=len(asks))
-        flat, d = flat[~own], dist[hit][~own]
-        inner = pa.StructArray.from_arrays([pa.array(d), pa.array(rep[flat], pa.string()), pa.array(many[flat])], names=["d", "id", "many"])
-        near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), inner)
-        return pa.Table.from_arrays([pa.array([name] * len(asks)), pa.array(rep[asks], pa.string()), pa.array(many[asks]), near], schema=near_schema)
-
-    solved = assigned.mapInArrow(send, _SENT).groupBy("task").applyInArrow(solve, _NEAR)
-    merged = solved.groupBy("space", "rep").agg(F.max("many").alias("many"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return _expand(base, merged, k).select(F.regexp_extract("space", r"^(.*):\d+$", 1).alias("embedder_id"), "chunk_id", "neighbour", "distance", "rank")
-
-
-def _bucket(rep: str, n: int) -> int:
-    """A stable number below n from an id."""
-    h = 2166136261
-    for c in rep.encode():
-        h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return (h >> 7) % n
-
-
-def _pack(models: dict[str, Index], sizes: dict[tuple[str, int], int]) -> dict[str, tuple[np.ndarray, list[int], int]]:
-    """For each embedder: first task of each list (-1: empty), over how many tasks it is spread, number of tasks.
+        lists = table.column("list").take(pa.array(entry)).to_numpy().astype(np.int64)
+        found, dist = search_group(index, x[entry], lists, x[asks], wanted, k + 1)
+        place = {m: j for j, m in enumerate(unique.tolist())}
+        own, near = [], []
+        for m, row, d in zip(marks[asks].tolist(), found.tolist(), dist.tolist()):
+            j = place.get(m, -2)
+            own.append(ids[j] if j >= 0 else None)
+            best = [(v, c) for r, v in zip(row, d) if r >= 0 and r != j for c in ids[r]]
+            near.append(_write(best[: k + 2] if len(best) <= k + 2 else sorted(best)[: k + 1]))
+        return pa.Table.from_arrays([pa.array(np.full(len(asks), s, dtype=np.int32)), pa.array(marks[asks], pa.int64()), pa.array(own, pa.list_(pa.string())), pa.array(near, pa.binary())], schema=solved_schema)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for s, own, parts in zip(*(batch.column(c).to_pylist() for c in ("space", "ids", "near"))):
+                if not own or len(own) > k:  # a group of so many copies is answered by itself
+                    continue
+                best: dict[str, float] = {}
+                for p in parts:
+                    for d, c in _read(p):
+                        if d < best.get(c, math.inf):
+                            best[c] = d
+                order = sorted((d, c) for c, d in best.items())
+                for chunk in own:
+                    got = ([(0.0, c) for c in own if c != chunk] + [e for e in order if e[1] not in own])[:k]
+                    for col, v in zip(out, ([sent.value[0][s]] * len(got), [chunk] * len(got), [c for _, c in got], [d for d, _ in got], range(1, len(got) + 1))):
+                        col.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, near_schema)], schema=near_schema)
+
+    solved = rows.mapInArrow(send, _SENT).groupBy("task").applyInArrow(solve, _SOLVED)
+    merged = solved.groupBy("space", "mark").agg(F.first("ids", ignorenulls=True).alias("ids"), F.collect_list("near").alias("near"))
+    found = merged.select("space", "ids", "near").mapInArrow(finish, _NEAR)
+    return found.unionByName(_copies(base, k)).select(F.regexp_extract("space", r"^(.*):\d+$", 1).alias("embedder_id"), "chunk_id", "neighbour", "distance", "rank")
+
+
+def _write(near: list[tuple[float, str]]) -> bytes:
+    """Neighbours as bytes: a double and a length-prefixed id each."""
+    return b"".join(struct.pack("<dH", d, len(b)) + b for d, b in ((d, c.encode()) for d, c in near))
+
+
+def _read(data: bytes) -> Iterator[tuple[float, str]]:
+    at = 0
+    while at < len(data):
+        d, n = struct.unpack_from("<dH", data, at)
+        yield d, data[at + 10 : at + 10 + n].decode()
+        at += 10 + n
+
+
+def _mix(mark: int) -> int:
+    """Spread the bits of a hash, whose low ones partition already."""
+    return (mark * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 17
+
+
+def _pack(models: list[Index], homes: dict[tuple[int, int], int], asks: dict[tuple[int, int], int]) -> list[tuple[np.ndarray, list[int], list[int], int]]:
+    """For each embedder: first task of each list, over how many tasks it is spread, shares of each task's queries, tasks before.
 
     Lists near each other share a task while together they have at most GROUP vectors; a larger list
-    has tasks of its own, each with a part of it.
+    has tasks of its own, each with a part of it. A task with more than QUERIES queries is shared out.
     """
-    out = {}
-    for name, index in models.items():
-        n = [sizes.get((name, c), 0) for c in range(len(index.centroids))]
-        first = np.full(len(n), -1, dtype=np.int64)
-        over = [max(1, math.ceil(s / GROUP)) for s in n]
-        task = 0
+    out, before = [], 0
+    for s, index in enumerate(models):
+        n = [homes.get((s, c), 0) for c in range(len(index.centroids))]
+        first = np.zeros(len(n), dtype=np.int64)
+        over = [max(1, math.ceil(x / GROUP)) for x in n]
+        load: list[int] = []
         coarse = kmeans(index.centroids, max(1, math.ceil(1.3 * sum(n) / GROUP)), 10)
         region = nearest(index.centroids, coarse, 1)[:, 0]
         for r in range(len(coarse)):
-            room = 0
+            room = GROUP + 1
             for c in np.flatnonzero(region == r):
-                if not n[c]:
-                    continue
+                q = asks.get((s, int(c)), 0)
                 if over[c] > 1:
-                    task += room > 0
-                    first[c], task, room = task, task + over[c], 0
+                    first[c] = len(load)
+                    load += [q] * over[c]
+                    room = GROUP + 1
                     continue
-                if room and room + n[c] > GROUP:
-                    task, room = task + 1, 0
-                first[c] = task
+                if room + n[c] > GROUP:
+                    load.append(0)
+                    room = 0
+                first[c] = len(load) - 1
+                load[-1] += q
                 room += n[c]
-            task += room > 0
-        out[name] = (first, over, task)
+        out.append((first, over, [max(1, math.ceil(q / QUERIES)) for q in load], before))
+        before += len(load)
     return out
 
 
-def _expand(base: DataFrame, merged: DataFrame, k: int) -> DataFrame:
-    """Neighbours of entries -> neighbours of chunks, where an entry may stand for many chunks of equal vector."""
-    plain = merged.filter("not many and not exists(near, x -> x.many)")
-    simple = plain.select("space", F.col("rep").alias("chunk_id"), F.posexplode("near").alias("pos", "n")).select("space", "chunk_id", F.col("n.id").alias("neighbour"), F.col("n.d").alias("distance"), (F.col("pos") + 1).alias("rank"))
-    rest = merged.filter("many or exists(near, x -> x.many)")
-    shared = base.groupBy("space", "mark").agg(F.min("chunk_id").alias("rep"), F.max("chunk_id").alias("far")).filter("rep <> far").select("space", "mark", "rep")
-    members = base.select("space", "mark", "chunk_id").join(shared, ["space", "mark"]).select("space", "rep", "chunk_id").distinct()
+def _copies(base: DataFrame, k: int) -> DataFrame:
+    """Neighbours of the chunks that have at least k others of equal vector: the smallest ids, at distance 0.
 
-    smallest_schema = _arrow(_SMALLEST)
+    k + 1 ids of each partition are kept first, so that no task holds a large set of copies, and the
+    members of a set are joined to its ids by a key that the adaptive plan splits where it is skewed.
+    """
+    schema = _arrow(_COPIES)
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[str]] = {}
+        held: dict[tuple[str, int], list[str]] = {}
         for batch in batches:
-            for s, r, c in zip(*(batch.column(n).to_pylist() for n in ("space", "rep", "chunk_id"))):
-                got = held.setdefault((s, r), [])
+            for s, m, c in zip(*(batch.column(n).to_pylist() for n in ("space", "mark", "chunk_id"))):
+                got = held.setdefault((s, m), [])
                 got.append(c)
                 if len(got) > 8 * k:
-                    held[s, r] = sorted(set(got))[: k + 1]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.string()), pa.array([r for _, r in held], pa.string()), pa.array([sorted(set(v))[: k + 1] for v in held.values()], pa.list_(pa.string()))], schema=smallest_schema)
-
-    # k + 1 ids of each partition first, so that no task ever holds a large set of copies
-    first = members.mapInArrow(smallest, _SMALLEST).groupBy("space", "rep").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    flat = rest.select("space", "rep", "many", F.explode_outer("near").alias("n"))
-    named = flat.withColumn("nid", F.col("n.id")).join(first.withColumnRenamed("rep", "nid").withColumnRenamed("ids", "nids"), ["space", "nid"], "left")
-    opened = (
-        named.withColumn("found", F.when(F.col("n").isNull(), F.array().cast("array<struct<d:double,id:string>>")).otherwise(F.transform(F.coalesce("nids", F.array("nid")), lambda i: F.struct(F.col("n.d").alias("d"), i.alias("id")))))
-        .groupBy("space", "rep")
-        .agg(F.max("many").alias("many"), F.flatten(F.collect_list("found")).alias("found"))
-        .join(first.withColumnRenamed("ids", "own"), ["space", "rep"], "left")
-        .join(members, ["space", "rep"], "left")
-        .withColumn("chunk_id", F.coalesce("chunk_id", "rep"))
-    )
-    near = F.concat(F.transform(F.coalesce("own", F.array().cast("array<string>")), lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("id"))), F.col("found"))
-    ranked = opened.withColumn("near", F.slice(F.array_sort(F.filter(near, lambda x: x["id"] != F.col("chunk_id"))), 1, k))
-    copies = ranked.select("space", "chunk_id", F.posexplode("near").alias("pos", "n")).select("space", "chunk_id", F.col("n.id").alias("neighbour"), F.col("n.d").alias("distance"), (F.col("pos") + 1).alias("rank"))
-    return simple.unionByName(copies)
+                    held[s, m] = sorted(set(got))[: k + 1]
+        for a in range(0, len(held), 50_000):
+            part = list(held.items())[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([s for (s, _), _ in part], pa.string()), pa.array([m for (_, m), _ in part], pa.int64()), pa.array([sorted(set(v))[: k + 1] for _, v in part], pa.list_(pa.string()))], schema=schema)
+
+    ids = base.select("space", "mark", "chunk_id").mapInArrow(smallest, _COPIES).groupBy("space", "mark").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")).filter(F.size("ids") > k)
+    members = base.select("space", "mark", "chunk_id").join(ids, ["space", "mark"])
+    others = F.slice(F.filter("ids", lambda i: i != F.col("chunk_id")), 1, k)
+    return members.select("space", "chunk_id", F.posexplode(others).alias("pos", "neighbour")).select("space", "chunk_id", "neighbour", F.lit(0.0).alias("distance"), (F.col("pos") + 1).alias("rank")).distinct()
 
 
 def neighbour_pairs(store: DataFrame, k: int = K) -> DataFrame:

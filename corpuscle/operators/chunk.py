@@ -32,9 +32,13 @@ def ordered_elements(elements: DataFrame) -> DataFrame:
     ``order`` holds the pipeline's order within a file: (class, kind, element).
     """
     no_context = [F.lit(None).cast(t).alias(n) for n, t in (("class_seq", "int"), ("bases", "array<string>"), ("class_docstring", "string"))]
-    classes = elements.filter("type = 'class'").select("*", *no_context).withColumn("order", F.struct(F.lit(0), F.col("seq"), F.lit(0), F.col("seq")))
-    methods = methods_with_classes(elements).withColumn("order", F.struct(F.lit(0), F.col("class_seq"), F.lit(1), F.col("seq")))
-    functions = elements.filter("type = 'function'").select("*", *no_context).withColumn("order", F.struct(F.lit(1), F.lit(0), F.lit(0), F.col("seq")))
+
+    def order(group: int, owner: Column, member: int) -> Column:
+        return F.struct(F.lit(group).alias("group"), owner.cast("int").alias("owner"), F.lit(member).alias("member"), F.col("seq").cast("int").alias("seq"))
+
+    classes = elements.filter("type = 'class'").select("*", *no_context, order(0, F.col("seq"), 0).alias("order"))
+    methods = methods_with_classes(elements).withColumn("order", order(0, F.col("class_seq"), 1))
+    functions = elements.filter("type = 'function'").select("*", *no_context, order(1, F.lit(0), 0).alias("order"))
     return classes.unionByName(methods).unionByName(functions)
 
 

@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.functions import lexing as L
 from corpuscle.functions.arrow import map_columns
-from corpuscle.llm import lexing as L
+from corpuscle.functions.lexing import partners
 from corpuscle.llm.grammars import check_tokens, syntax_of
-from corpuscle.llm.peg import partners
 from corpuscle.session import spread
 
 _K = L.JS_KINDS

@@ -12,8 +12,9 @@ import warnings
 from dataclasses import dataclass
 from functools import cache
 
-from corpuscle.llm import lexing as L
-from corpuscle.llm.peg import END, Grammar, partners
+from corpuscle.functions import lexing as L
+from corpuscle.functions.lexing import END, partners
+from corpuscle.llm.peg import Grammar
 
 _ECMA = """
 Program <- Stmt* END

@@ -17,8 +17,8 @@ import re
 import sys
 from collections.abc import Callable
 
-END = "\0"
-_OPEN, _CLOSE = "([{", ")]}"
+from corpuscle.functions.lexing import END
+
 _MEMO_ENTRIES = 400_000
 _TOKEN = re.compile(r"\s*(?:(@group)|([A-Za-z_]\w*)(\s*<-)?|'([^']+)'|(.))", re.S)
 
@@ -258,16 +258,3 @@ class Grammar:
         self.slow(kinds, breaks, partner, far, None)(0)
         return min(far[0], len(kinds) - 1)
 
-
-def partners(kinds: str) -> tuple[list[int], int]:
-    """For each opening bracket the number of its partner (-1 elsewhere), and the first misfit (-1: none)."""
-    out, stack = [-1] * len(kinds), []
-    for m in re.finditer(r"[()\[\]{}]", kinds):
-        c, i = m[0], m.start()
-        if c in _OPEN:
-            stack.append(i)
-        elif not stack or _OPEN.index(kinds[stack[-1]]) != _CLOSE.index(c):
-            return out, i
-        else:
-            out[stack.pop()] = i
-    return out, (len(kinds) - 1 if stack else -1)

@@ -62,6 +62,8 @@ _TEMPLATE = re.compile(r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`")
 #: After these kinds an operator follows, so that "/" divides and "<" compares.
 _AFTER_VALUE = set("insrtx)]}U") | {JS_KINDS[w] for w in JS_CONTEXT if w not in ("await", "yield", "of")} | {JS_KINDS[w] for w in ("this", "super", "null", "true", "false")}
 
+_HEADS = {JS_KINDS[w] for w in ("if", "while", "for", "with")}
+
 
 @dataclass
 class Tokens:
@@ -169,6 +171,7 @@ def lex_js(text: str, jsx: bool = True) -> Tokens:
     out = Tokens()
     kinds, breaks, spans = [], [], out.spans
     pos, n, last, brk = 0, len(text), ";", "1"
+    heads: list[bool] = []
     if text.startswith("#!"):
         pos = text.find("\n") if "\n" in text else n
     words = JS_KINDS
@@ -208,6 +211,14 @@ def lex_js(text: str, jsx: bool = True) -> Tokens:
                         last, brk, restart = "x", "0", e
                         break
                 k = _JS_OPS[s]
+                if k == "(":
+                    heads.append(last in _HEADS)
+                elif k == ")" and heads and heads.pop():  # a statement follows, so "/" opens a regular expression
+                    kinds.append(k)
+                    breaks.append(brk)
+                    spans.append(m.span())
+                    last, brk = ";", "0"
+                    continue
             elif g == "c":
                 out.comments.append(m.span())
                 if "\n" in m[0]:

@@ -22,7 +22,7 @@ Stmt <- ';' / Block / VarDecl / Func / Class / If / For / While / Do / Switch /
 @group Block <- '{' Stmt* '}'
 Semi <- ';' / &'}' / NL
 VarDecl <- 'const' !'enum' ConstDecl (',' ConstDecl)* Semi / ('var' / 'let' &(ID / '{' / '[')) Declarator (',' Declarator)* Semi
-ConstDecl <- Binding TypeAnn? '=' Assign
+ConstDecl <- Binding TypeAnn? '=' Assign / TsAmbient
 Declarator <- Binding Definite? TypeAnn? ('=' Assign)?
 Binding <- ID / ObjPat / ArrPat
 @group ObjPat <- '{' (ObjPatEl (',' ObjPatEl)* ','?)? '}'
@@ -94,6 +94,7 @@ ParamMod <- NEVER
 Ts <- NEVER
 TsAbstract <- NEVER
 TsBodyless <- NEVER
+TsAmbient <- NEVER
 TsImplements <- NEVER
 TsIndex <- NEVER
 TsImportEq <- NEVER
@@ -107,7 +108,7 @@ _TS_ONLY = """
 TypeAnn <- ':' Type
 RetAnn <- ':' ('asserts' (ID / 'this') ('is' Type)? / (ID / 'this') 'is' Type / Type)
 TypeParams <- '<' TypeParam (',' TypeParam)* ','? '>'
-TypeParam <- ('const' / 'in' / 'out')? ID ('extends' Type)? ('=' Type)?
+TypeParam <- ('const' / 'in')? (ID &ID)? ID ('extends' Type)? ('=' Type)?
 TypeArgs <- '<' Type (',' Type)* '>'
 Optional <- '?'
 Definite <- '!'
@@ -116,6 +117,7 @@ ParamMod <- MODWORD !(':' / ',' / ')' / '=' / '?')
 Ts <- Interface / Alias / Enum / Module / Declare / TsAbstract Class
 TsAbstract <- 'abstract'
 TsBodyless <- Semi
+TsAmbient <- Binding TypeAnn
 TsImplements <- 'implements' Type (',' Type)*
 TsIndex <- '[' ID ':' Type ']' TypeAnn
 TsImportEq <- 'type'? ID '=' Expr
@@ -295,7 +297,7 @@ def grammar(language: str) -> Grammar:
     """The compiled grammar of a language, built once in a process."""
     if language in ("javascript", "typescript"):
         lits = L._JS_OPS | L.JS_KINDS
-        lits |= {"++": "U", ">=": "G", "out": "i"}
+        lits |= {"++": "U", ">=": "G"}
         words = "".join(L.JS_KINDS.values())
         ident = "i" + "".join(L.JS_KINDS[w] for w in L.JS_CONTEXT)
         classes = {"ID": ident, "WORD": "i" + words, "STR": "s", "NUM": "n", "TPL": "t", "REGEX": "r", "JSX": "x", "ASSIGN": "A", "BIN": "BG+-*|&<", "MODWORD": "".join(L.JS_KINDS[w] for w in _JS_MODS), "OPERAND": ident + "snrtx([{!~+-U" + "".join(L.JS_KINDS[w] for w in "new this function class super null true false typeof void delete await import".split()), "TYPESTART": ident + "sn([{t" + "".join(L.JS_KINDS[w] for w in "null true false void this typeof".split()), "NEVER": "\1"}

@@ -301,6 +301,9 @@ def _stem(w: str) -> str:
     return w
 
 
+_KIND_STEMS = {_stem(w) for w in _KIND}
+
+
 def _words(s: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[^\W\d_]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", s))]
 
@@ -314,7 +317,7 @@ def informative(doc: str | None, name: str, parameters: list[str]) -> bool:
         return False
     if "".join(re.findall(r"[^\W_]+", doc.lower())) == "".join(re.findall(r"[^\W_]+", name.lower())):
         return False
-    known = {_stem(w) for w in _words(name)} | {_stem(w) for w in _KIND}
+    known = {_stem(w) for w in _words(name)} | _KIND_STEMS
     said: list[str] = []
     text = doc
     for m in _TAG.finditer(doc):

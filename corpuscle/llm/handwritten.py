@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.arrow import map_columns
-from corpuscle.session import spread
+from corpuscle.session import checkpoint, spread
 
 #: Canonical lines for each line of code from which a file counts as minified.
 EXPANSION = 4.0
@@ -132,7 +132,7 @@ def file_kinds(sources: DataFrame) -> DataFrame:
     contents have no kind; null paths neither. Repeated scans fold into one row, the first kind by name.
     """
     wanted = sources.select("repo_path", "path", "content").filter((F.length("content") > 0) & F.col("path").isNotNull())
-    judged = map_columns(spread(wanted), ["repo_path", "path", "content"], _judge, _SCHEMA).select("repo_path", "path", "kind", "third_party", "body")
+    judged = checkpoint(map_columns(spread(wanted), ["repo_path", "path", "content"], _judge, _SCHEMA).select("repo_path", "path", "kind", "third_party", "body"))
     known = judged.filter("third_party and body is not null").select("body").distinct().withColumn("copy", F.lit(True))
     return (
         judged.join(known, "body", "left")

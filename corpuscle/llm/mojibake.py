@@ -138,8 +138,9 @@ class ChainModel:
                 continue
             there = 0.0 if back.isascii() else self.scores(back)[1]
             multibyte = chain[-1][0] == "utf-8"
-            gain = 0.5 * (there - here) + float(s[k] - s[0]) + (30.0 if multibyte else 0.0)
-            if gain > best and (multibyte and there > here - 12 or s[k] > s[0] and there > here + 3 and _in_words(text, back)):
+            # each multi-byte character that decodes strictly is evidence of its own
+            gain = 0.5 * (there - here) + float(s[k] - s[0]) + (30.0 + 4.0 * (len(text) - len(back)) if multibyte else 0.0)
+            if gain > best and (multibyte and (there > here - 12 or len(text) - len(back) > 3) or s[k] > s[0] and there > here + 3 and _in_words(text, back)):
                 best, found = gain, (chain, back)
         return found
 

@@ -158,7 +158,7 @@ def _value_after(line: str, at: int, code: bool) -> tuple[list[tuple[int, int]],
         g = 1 + [q[1], q[2], q[3]].index(next(x for x in (q[1], q[2], q[3]) if x is not None))
         spans.append((at + q.start(g), at + q.end(g)))
     if not spans and not code:
-        b = re.match(r"[^\s#;,'\"]+", rest[pos:])
+        b = re.match(r"[^\s;,'\"#][^\s;,'\"]*", rest[pos:])
         if b:
             spans.append((at + pos, at + pos + b.end()))
     return spans, False
@@ -254,7 +254,7 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
                         if looks_usable(q[g], True) and not re.match(r"\s*[:=]", nxt[q.end() :]):
                             add(j, *q.span(g), "assignment")
                     elif not code:
-                        q = re.match(r"\s+([^\s#'\"]+)\s*$", nxt)
+                        q = re.match(r"\s+([^\s#'\"][^\s'\"]*)\s*$", nxt)
                         if q and not q[1].endswith(":") and looks_usable(q[1], True):
                             add(j, *q.span(1), "assignment")
                     break

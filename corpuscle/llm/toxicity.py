@@ -23,7 +23,7 @@ from corpuscle.session import spread
 
 #: Bounds of the training sample, and the model's hashed width.
 LABELLED, UNLABELLED, REMARKS, WIDTH = 20_000, 8_000, 30_000, 1 << 18
-ROUNDS, STEPS, RATE, DECAY = 3, 90, 0.1, 5e-5
+ROUNDS, STEPS, RATE, DECAY = 3, 110, 0.1, 5e-5
 
 #: Letters that stand for others in masked spellings.
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "0": "o", "5": "s", "$": "s", "1": "i", "!": "i", "|": "i", "7": "t", "+": "t", "€": "e"})
@@ -300,11 +300,11 @@ def fit(labelled: list[tuple[str | None, int]], unlabelled: list[str | None]) ->
                 chosen = [int(marks.argmax())] if marks.max() > 0.9 else []
             else:
                 s = _sigmoid(np.array([model.score_words(ws) for ws in d]))
-                chosen = [int(i) for i in np.flatnonzero((s > 0.5) & (marks > 0.3) | (s == s.max()) & (s > 0.2) & (marks > 0.9))]
+                chosen = [int(i) for i in np.flatnonzero((s > 0.5) & (marks > 0.3) | (marks == marks.max()) & (marks > 0.9))]
             positive += [d[i] for i in chosen]
             share += [1.0] * len(chosen)
         if model is not None:  # what reviewers passed although the model doubts it weighs more; sure hits are their errors
-            doubted = [ws for d, y in docs if not y for ws in d if -2.0 < model.score_words(ws) < 1.5]
+            doubted = [ws for d, y in docs if not y for ws in d if -2.0 < model.score_words(ws) < 1.5 and odd(ws) < 0.5]
             hard = doubted * max(1, min(12, len(pool) // (8 * max(len(doubted), 1))))
         w, b = train_nnpu(positive, np.array(share), pool + hard, prior)
         model = ToxicModel(w, b, 0.5, {})
@@ -322,7 +322,7 @@ def fit(labelled: list[tuple[str | None, int]], unlabelled: list[str | None]) ->
     if truth.sum() >= 10:
         grid = np.linspace(0.1, 0.9, 81)
         f = np.array([2 * ((scores >= t) & (truth == 1)).sum() / max((scores >= t).sum() + truth.sum(), 1) for t in grid])
-        model.threshold = float(np.quantile(grid[f >= f.max() - 0.004], 0.25))  # opinions are few and partly wrong: the near-best range counts
+        model.threshold = float(np.quantile(grid[f >= f.max() - 0.004], 0.15))  # opinions are few and partly wrong: the near-best range counts
     return model
 
 

@@ -16,43 +16,34 @@ def class_context(name: Column, bases: Column, docstring: Column) -> Column:
     return F.concat(F.lit("# In class "), name, F.lit("\n"), signature, doc, F.lit("\n\n"))
 
 
+def class_heads(elements: DataFrame) -> DataFrame:
+    """What methods need of their class: its key, order, bases and docstring."""
+    return elements.filter("type = 'class'").select("repo_path", "path", F.col("name").alias("parent_class"), F.col("seq").alias("class_seq"), F.col("parameters").alias("bases"), F.col("docstring").alias("class_docstring"))
+
+
 def methods_with_classes(elements: DataFrame) -> DataFrame:
     """Each class of a file with every method of that class name in the file (many to many).
 
     Null names match nothing. Two classes of one name both take all their methods; dedupe keeps the
     copy of the first.
     """
-    classes = elements.filter("type = 'class'").select("repo_path", "path", F.col("name").alias("parent_class"), F.col("seq").alias("class_seq"), F.col("parameters").alias("bases"), F.col("docstring").alias("class_docstring"))
-    return elements.filter("type = 'method'").join(classes, ["repo_path", "path", "parent_class"])
-
-
-def ordered_elements(elements: DataFrame) -> DataFrame:
-    """Classes each followed by its methods, then functions; imports are never chunked.
-
-    ``order`` holds the pipeline's order within a file: (class, kind, element).
-    """
-    no_context = [F.lit(None).cast(t).alias(n) for n, t in (("class_seq", "int"), ("bases", "array<string>"), ("class_docstring", "string"))]
-
-    def order(group: int, owner: Column, member: int) -> Column:
-        return F.struct(F.lit(group).alias("group"), owner.cast("int").alias("owner"), F.lit(member).alias("member"), F.col("seq").cast("int").alias("seq"))
-
-    classes = elements.filter("type = 'class'").select("*", *no_context, order(0, F.col("seq"), 0).alias("order"))
-    methods = methods_with_classes(elements).withColumn("order", order(0, F.col("class_seq"), 1))
-    functions = elements.filter("type = 'function'").select("*", *no_context, order(1, F.lit(0), 0).alias("order"))
-    return classes.unionByName(methods).unionByName(functions)
+    return elements.filter("type = 'method'").join(class_heads(elements), ["repo_path", "path", "parent_class"])
 
 
 def build_chunks(elements: DataFrame, counter: TokenCounter = count_tokens, budget: int = MAX_TOKENS, overlap: int = OVERLAP_LINES, line_mode: str = "exact", context: bool = True, last_modified: Column | None = None) -> DataFrame:
-    """Chunks of the elements, before dedupe, with ``order`` and ``segment_order`` for it.
+    """Chunks of the elements, before dedupe, with ``order`` and ``segment_order`` for it.
 
-    The class context is not weighed against the budget. Extra columns of ``elements`` are dropped.
+    Order within a file is that of the pipeline: each class and then its methods, then functions;
+    imports are never chunked. The class context is not weighed against the budget. Extra columns of
+    ``elements`` are dropped. Elements cross to Python once and are shuffled once, for the join.
     """
     given = elements.select("repo_path", "path", "language", "seq", "type", "name", "start_line", "end_line", "content", "docstring", "decorators", "parent_class", "parameters", "return_type")
-    ordered = ordered_elements(given)
-    # segments are cut once per element, then met by the order and context of its rows
-    pieces = split_elements(given.filter("type <> 'import'"), counter, budget, overlap, line_mode).select("repo_path", "path", "seq", "segment", "segments", "segment_start", "segment_end", F.col("content").alias("piece"))
-    rows = ordered.drop("content").join(pieces, ["repo_path", "path", "seq"])
-    prefix = F.when(F.col("class_seq").isNotNull(), class_context(F.col("parent_class"), F.col("bases"), F.col("class_docstring"))).otherwise("") if context else F.lit("")
+    pieces = split_elements(given.filter("type <> 'import'"), counter, budget, overlap, line_mode)
+    heads = class_heads(given).withColumnRenamed("parent_class", "owner")
+    method = F.col("type") == "method"
+    rows = pieces.withColumn("owner", F.when(method, F.col("parent_class"))).join(heads, ["repo_path", "path", "owner"], "left").filter(~method | F.col("class_seq").isNotNull())
+    prefix = F.when(method, class_context(F.col("parent_class"), F.col("bases"), F.col("class_docstring"))).otherwise("") if context else F.lit("")
+    function = F.col("type") == "function"
     return rows.select(
         chunk_id(F.col("repo_path"), F.col("path"), F.col("name"), F.col("type"), F.col("parent_class"), F.col("start_line"), F.col("segment")).alias("chunk_id"),
         "repo_path",
@@ -62,9 +53,9 @@ def build_chunks(elements: DataFrame, counter: TokenCounter = count_tokens, budg
         F.when(F.col("segment").isNull(), F.col("name")).otherwise(F.format_string("%s (part %d/%d)", "name", F.col("segment") + 1, F.col("segments"))).alias("name"),
         F.col("segment_start").alias("start_line"),
         F.col("segment_end").alias("end_line"),
-        F.concat(prefix, F.col("piece")).alias("content"),
+        F.concat(prefix, F.col("content")).alias("content"),
         F.struct("parent_class", "parameters", "return_type", "decorators", "docstring", F.col("segment").alias("split_segment"), F.col("segments").alias("split_total"), (last_modified if last_modified is not None else F.lit(None)).cast("double").alias("last_modified")).alias("meta"),
-        "order",
+        F.struct(function.cast("int").alias("group"), F.when(function, 0).otherwise(F.coalesce("class_seq", "seq")).alias("owner"), method.cast("int").alias("member"), F.col("seq").alias("seq")).alias("order"),
         F.coalesce("segment", F.lit(0)).alias("segment_order"),
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import lang, text
 from corpuscle.functions.arrow import map_columns
 from corpuscle.operators import chat, chunk, diff, embed, parse, search, split, stats, store
-from corpuscle.session import spread, table
+from corpuscle.session import checkpoint, spread, table
 from corpuscle.sources import repo_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -436,7 +436,7 @@ def q43_split(spark, sf_dir):
 @query()
 def q44_chunks(spark, sf_dir):
     """Chunks built from the sources, deduplicated."""
-    elements = parse.parse_files(spread(table(spark, sf_dir, "sources").select("repo_path", "path", "content")).dropDuplicates(["repo_path", "path"]))
+    elements = checkpoint(parse.parse_files(spread(table(spark, sf_dir, "sources").select("repo_path", "path", "content"))).distinct())
     return chunk.dedupe_chunks(chunk.build_chunks(elements))
 
 

@@ -31,7 +31,7 @@ class Engine:
         sources = scan(self.spark, repo, content=True)
         if files is not None:
             sources = sources.join(F.broadcast(files.select("path")) if files.limit(10_001).count() <= 10_000 else files.select("path"), "path", "left_semi")
-        elements = parse_files(sources)
+        elements = checkpoint(parse_files(sources))  # chunks and their class context both need it
         times = scan(self.spark, repo).select(F.col("path").alias("file_path"), F.col("last_modified").alias("mtime"))
         built = dedupe_chunks(build_chunks(elements, self.counter, self.max_tokens, self.overlap, self.line_mode))
         return built.join(times, "file_path", "left").withColumn("meta", F.col("meta").withField("last_modified", F.col("mtime"))).drop("mtime")

@@ -100,12 +100,14 @@ def judge(path: str, text: str) -> tuple[str | None, bool, int | None, float, fl
         if _MARK.search(head) and suffix != "md":
             return "generated", vendored, None, 0.0, 0.0, 0.0
         return ("vendored" if vendored and suffix not in ("md", "") else None), vendored, None, 0.0, 0.0, 0.0
+    if text.lstrip()[:1] in ("{", "["):  # bare JSON: only its suffix is wrong
+        return ("generated" if _LOCK_BODY.search(text[:2000]) else "vendored" if vendored else None), vendored, None, 0.0, 0.0, 0.0
     s = layout(text, suffix)
     expansion = s.canonical / max(s.lines, 1)
     kind = None
     if suffix != "py" and s.canonical >= 12 and expansion >= EXPANSION:
         kind = "minified"
-    elif s.literals >= 40 and s.literals >= LITERALS_A_WORD * s.words and s.literal_share >= 0.4 and len(text) >= DATA_CHARS and text.lstrip()[:1] not in ("{", "["):  # bare JSON has a wrong suffix
+    elif s.literals >= 40 and s.literals >= LITERALS_A_WORD * s.words and s.literal_share >= 0.4 and len(text) >= DATA_CHARS:
         kind = "data"
     elif s.lines >= 12 and s.shapes < UNIFORMITY or s.lines < 60 and s.shapes < 0.5 and _MARK.search(head):
         kind = "generated"

@@ -22,6 +22,7 @@ DATA = "export const T = [\n" + "".join("  " + ", ".join(str(random.Random(i).ra
         ("src/a.js", WRITTEN + 'const p = "' + "Ab3+" * 700 + '";\n', None),
         ("src/a.js", "const STEPS = [[1, 2], [3, 4]];\n" + WRITTEN, None),
         ("src/a.js", '{"a": [' + "1, " * 900 + "2]}", None),
+        ("src/a.ts", "{\n" + "".join(f'  "name{i}": {i},\n' for i in range(60)) + '  "z": 1\n}\n', None),
         ("src/a.js", STUBS, "generated"),
         ("src/a.js", "// Code generated by x. DO NOT EDIT.\n" + STUBS, "generated"),
         ("package-lock.json", '{"lockfileVersion": 2, "packages": {}}', "generated"),

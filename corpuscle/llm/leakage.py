@@ -88,14 +88,15 @@ class ItemIndex:
             while pivot + 1 < len(heads) and heads[pivot + 1][0] == doc:
                 pivot += 1
             bound, ends = 0.0, []
-            for h in heads[: pivot + 1]:
-                b = blocks[h[2]]
-                k = h[1] // BLOCK
-                while k < len(b) and b[k][0] < doc:
+            for _, at, t in heads[: pivot + 1]:
+                b = blocks[t]
+                k, n = at // BLOCK, len(b)
+                while k < n and b[k][0] < doc:
                     k += 1
-                if k < len(b):
-                    bound += b[k][1]
-                    ends.append(b[k][0])
+                if k < n:
+                    end, most = b[k]
+                    bound += most
+                    ends.append(end)
             if bound >= threshold:
                 if heads[0][0] == doc:
                     score = 0.0
@@ -109,16 +110,16 @@ class ItemIndex:
             else:  # no item before the nearest block end can reach the threshold
                 target = min([*ends, *([heads[pivot + 1][0] - 1] if pivot + 1 < len(heads) else [])], default=doc) + 1
                 target = max(target, doc + 1)
-            alive = []
-            for j, h in enumerate(heads):
-                if j <= pivot and h[0] < target:
+            moved = []
+            for h in heads[: pivot + 1]:
+                if h[0] < target:
                     p = docs[h[2]]
                     h[1] = bisect_left(p, target, h[1])
                     if h[1] >= len(p):
                         continue
                     h[0] = p[h[1]]
-                alive.append(h)
-            heads = alive
+                moved.append(h)
+            heads = moved + heads[pivot + 1 :]
         return out
 
     def verify(self, item: int, w: list[str]) -> tuple[int, bool] | None:

@@ -28,6 +28,8 @@ ROUNDS, STEPS, RATE, DECAY = 3, 110, 0.1, 5e-5
 #: Letters that stand for others in masked spellings.
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "0": "o", "5": "s", "$": "s", "1": "i", "!": "i", "|": "i", "7": "t", "+": "t", "€": "e"})
 _LOOKALIKE = str.maketrans("абвекмнорстухіјѕԁһԛԝҮАВЕКМНОРСТУХІЈЅαβεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abbekmhopctyxijsdhqwyabekmhopctyxijsabeikvoptuxabezhikmnoptyx")
+#: The threshold where fewer than ten documents are called toxic, too few to choose one by.
+FEW_LABELS_THRESHOLD = 0.15
 _HIDDEN = re.compile(r"[​-‏⁠﻿­]")
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])[\"')\]]*\s+|\s+[-–—]\s+(?=[A-ZÄÖÜÉÈ])")
 _TOKEN = re.compile(r"[^\s,;:()\[\]{}<>\"“”„«»=/\\`]+")
@@ -316,7 +318,7 @@ def fit(labelled: list[tuple[str | None, int]], unlabelled: list[str | None]) ->
                 s = model.score_words([x]) - model.bias
                 if s > 1.0:
                     lexicon[x] = s
-    model = ToxicModel(w, b, 0.5, lexicon)
+    model = ToxicModel(w, b, FEW_LABELS_THRESHOLD, lexicon)
     scores = np.array([max((_sigmoid(np.array(model.score_words(ws))) for ws in d), default=0.0) for d, _ in docs])
     truth = np.array([y for _, y in docs])
     if truth.sum() >= 10:

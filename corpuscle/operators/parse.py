@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_right
 from dataclasses import astuple, dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -95,9 +96,7 @@ class _Script:
         self.out: list[Element] = []
 
     def line(self, at: int) -> int:
-        import bisect
-
-        return bisect.bisect_right(self.starts, at)
+        return bisect_right(self.starts, at)
 
     def word(self, i: int) -> str:
         return self.text[self.spans[i][0] : self.spans[i][1]]

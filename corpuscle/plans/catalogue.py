@@ -302,7 +302,7 @@ _PAIRS = f"{_ELEMENTS} m JOIN {_ELEMENTS} c ON m.repo_path = c.repo_path AND m.p
 @query(f"SELECT DISTINCT m.repo_path, m.path, m.name, CAST(m.start_line AS BIGINT) AS start_line, {_PREFIX} || m.content AS content FROM {_PAIRS}")
 def q28_class_context(spark, sf_dir):
     """Methods with the lines that name their class."""
-    rows = chunk.methods_with_classes(_elements(spark, sf_dir))
+    rows = chunk.methods_with_classes(table(spark, sf_dir, "elements"))
     full = F.concat(chunk.class_context(F.col("parent_class"), F.col("bases"), F.col("class_docstring")), F.col("content"))
     return rows.select("repo_path", "path", "name", F.col("start_line").cast("bigint").alias("start_line"), full.alias("content")).distinct()
 

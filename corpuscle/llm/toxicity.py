@@ -154,13 +154,26 @@ class _Rows:
             counts.append(len(i))
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.values = np.concatenate(values) if values else np.zeros(0, np.float32)
-        self.row = np.repeat(np.arange(self.n), counts)
+        counts = np.asarray(counts, dtype=np.int64)
+        self.filled = np.flatnonzero(counts)
+        self.starts = (np.cumsum(counts) - counts)[self.filled]
+        # the same entries by feature, for gradients
+        order = np.argsort(self.ids, kind="stable")
+        self.row_of = np.repeat(np.arange(self.n, dtype=np.int32), counts)[order]
+        self.value_of = self.values[order]
+        self.features, self.cuts = np.unique(self.ids[order], return_index=True)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.ids] * self.values, minlength=self.n)
+        out = np.zeros(self.n)
+        if len(self.ids):
+            out[self.filled] = np.add.reduceat(w.astype(np.float32)[self.ids] * self.values, self.starts)
+        return out
 
     def gradient(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.ids, weights=g[self.row] * self.values, minlength=WIDTH)
+        out = np.zeros(WIDTH)
+        if len(self.ids):
+            out[self.features] = np.add.reduceat(g.astype(np.float32)[self.row_of] * self.value_of, self.cuts)
+        return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

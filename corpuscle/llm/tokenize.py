@@ -149,8 +149,12 @@ def encode_corpus(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/byte_bpe_5
 
     Null and empty texts get the empty list; a null doc_id is kept. Texts of any length are encoded
     whole. The vocabulary file (fixed size) is read on the driver and broadcast. Only doc_id and text
-    are read; nothing is shuffled but a scan of too few partitions and the removal of repeated rows.
+    are read. Texts are shuffled only if a count of the ids, which reads no text, finds a repeated one.
     """
+    rows = documents.select("doc_id", "text")
+    n, known = documents.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n != known:
+        rows = rows.distinct()
     vocabulary = documents.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(doc_ids: list, texts: list) -> dict[str, list]:
@@ -159,7 +163,7 @@ def encode_corpus(documents: DataFrame, path: str = f"{TOKENIZER_DIR}/byte_bpe_5
         encode = _BY_PATH[path].encode
         return {"doc_id": doc_ids, "ids": [encode(t) for t in texts]}
 
-    return map_columns(spread(documents.select("doc_id", "text").distinct()), ["doc_id", "text"], run, "doc_id bigint, ids array<int>")
+    return map_columns(spread(rows), ["doc_id", "text"], run, "doc_id bigint, ids array<int>")
 
 
 def token_totals(encoded: DataFrame) -> DataFrame:

@@ -53,10 +53,12 @@ def _ops(single: dict[str, str], binary: list[str], assign: list[str]) -> tuple[
 _JS_OPS, _js = _ops(JS_OPS, JS_BINARY, JS_ASSIGN)
 _GO_OPS, _go = _ops(GO_OPS, GO_BINARY, GO_ASSIGN)
 _JAVA_OPS, _java = _ops(JAVA_OPS, JAVA_BINARY, JAVA_ASSIGN)
-_JS = re.compile(rf"(?P<ws>[ \t\r\f\v﻿ ]+)|(?P<nl>\n\s*|[  ])|(?P<w>{_WORD})|(?P<c>//[^\n]*|/\*[\s\S]*?\*/|<!--[^\n]*)|(?P<s>{_STR2}|{_STR1})|(?P<n>{_NUM})|(?P<o>{_js})|(?P<t>`)", re.U)
+_JS_SPACE = r"[ \t\r\f\v﻿ ]"
+_JS = re.compile(rf"{_JS_SPACE}*(?:(?P<nl>\n\s*|[  ])|(?P<w>{_WORD})|(?P<c>//[^\n]*|/\*[\s\S]*?\*/|<!--[^\n]*)|(?P<s>{_STR2}|{_STR1})|(?P<n>{_NUM})|(?P<o>{_js})|(?P<t>`))", re.U)
 _GO = re.compile(rf"(?P<ws>[ \t\r﻿]+)|(?P<nl>\n)|(?P<w>[^\W\d]\w*)|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n][^'\n]*)')|(?P<n>(?:{_NUM})i?)|(?P<o>{_go})")
 _JAVA = re.compile(rf'(?P<ws>[ \t\r\f﻿]+)|(?P<nl>\n\s*)|(?P<w>[^\W\d]\w*|\$[\w$]*)|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>"""[\s\S]*?(?<!\\)"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n][^\'\n]*)\')|(?P<n>(?:{_NUM})[lLfFdD]?)|(?P<o>{_java})')
 _JSON = re.compile(r'(?P<ws>[ \t\r\n]+)|(?P<s>"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(?P<n>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<w>true|false|null)|(?P<o>[\[\]{},:])')
+_JS_MORE = re.compile(rf"(?!{_JS_SPACE})[\s\S]")
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _TEMPLATE = re.compile(r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`")
 #: After these kinds an operator follows, so that "/" divides and "<" compares.
@@ -67,13 +69,14 @@ _HEADS = {JS_KINDS[w] for w in ("if", "while", "for", "with")}
 
 @dataclass
 class Tokens:
-    """Kinds (ended by END), where each token starts and ends, a line-break flag each, comments, and where lexing failed."""
+    """Kinds (ended by END), where each token starts and ends, a line-break flag each, comments, where lexing failed, bracket partners once known."""
 
     kinds: str = END
     breaks: str = "1"
     spans: list[tuple[int, int]] = field(default_factory=list)
     comments: list[tuple[int, int]] = field(default_factory=list)
     error: int = -1
+    mate: list[int] | None = None
 
 
 def _template(text: str, at: int) -> int:
@@ -183,31 +186,30 @@ def lex_js(text: str, jsx: bool = True) -> Tokens:
                 break
             end = m.end()
             g = m.lastgroup
-            if g == "ws":
-                continue
             if g == "nl":
                 brk = "1"
                 continue
+            span = m.span(g)
             if g == "w":
-                k = words.get(m[0], "i") if last not in ".Q" else "i"
+                k = words.get(m[g], "i") if last not in ".Q" else "i"
             elif g == "o":
-                s = m[0]
+                s = m[g]
                 if s[0] == "/" and last not in _AFTER_VALUE:
-                    r = _REGEX.match(text, m.start())
+                    r = _REGEX.match(text, span[0])
                     if not r:
-                        end = m.start()
+                        end = span[0]
                         break
                     kinds.append("r")
                     breaks.append(brk)
                     spans.append(r.span())
                     last, brk, restart = "r", "0", r.end()
                     break
-                if s[0] == "<" and jsx and last not in _AFTER_VALUE and re.match(r"<(?:>|[A-Za-z])", text[m.start() : m.start() + 2]):
-                    e = _jsx(text, m.start())
+                if s[0] == "<" and jsx and last not in _AFTER_VALUE and re.match(r"<(?:>|[A-Za-z])", text[span[0] : span[0] + 2]):
+                    e = _jsx(text, span[0])
                     if e > 0:
                         kinds.append("x")
                         breaks.append(brk)
-                        spans.append((m.start(), e))
+                        spans.append((span[0], e))
                         last, brk, restart = "x", "0", e
                         break
                 k = _JS_OPS[s]
@@ -216,33 +218,33 @@ def lex_js(text: str, jsx: bool = True) -> Tokens:
                 elif k == ")" and heads and heads.pop():  # a statement follows, so "/" opens a regular expression
                     kinds.append(k)
                     breaks.append(brk)
-                    spans.append(m.span())
+                    spans.append(span)
                     last, brk = ";", "0"
                     continue
             elif g == "c":
-                out.comments.append(m.span())
-                if "\n" in m[0]:
+                out.comments.append(span)
+                if "\n" in m[g]:
                     brk = "1"
                 continue
             elif g == "t":
-                e = _template(text, m.start())
+                e = _template(text, span[0])
                 if e < 0:
-                    end = m.start()
+                    end = span[0]
                     break
                 kinds.append("t")
                 breaks.append(brk)
-                spans.append((m.start(), e))
+                spans.append((span[0], e))
                 last, brk, restart = "t", "0", e
                 break
             else:
                 k = g
             kinds.append(k)
             breaks.append(brk)
-            spans.append(m.span())
+            spans.append(span)
             last, brk = k, "0"
         if restart >= 0:
             pos = restart
-        elif end >= n:
+        elif end >= n or not _JS_MORE.search(text, end):
             break
         else:
             out.error = end

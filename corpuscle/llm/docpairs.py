@@ -81,7 +81,7 @@ def script_functions(text: str, jsx: bool) -> tuple[list[Function], L.Tokens] |
     except RecursionError:
         return None
     k, spans = toks.kinds, toks.spans
-    m, _ = partners(k)
+    m = toks.mate or partners(k)[0]
     starts = _line_starts(text)
     word = lambda i: text[spans[i][0] : spans[i][1]]
     out: list[Function] = []
@@ -374,20 +374,23 @@ def pairs(text: str, path: str) -> list[tuple[str, int, str, str]]:
     return out
 
 
-_SCHEMA = "repo_path string, path string, name string, start_line int, code string, description string"
+_KEYS = "repo_path string, path string, name string, start_line int"
+_PAIRS = _KEYS + ", code string, description string"
 
 
-def _judge(repos: list, paths: list, contents: list) -> dict[str, list]:
-    names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    rows = [(r, p, *x) for r, p, t in zip(repos, paths, contents) for x in pairs(t, p)]
-    return {n: [x[i] for x in rows] for i, n in enumerate(names)}
-
-
-def documented_functions(sources: DataFrame) -> DataFrame:
+def documented_functions(sources: DataFrame, texts: bool = True) -> DataFrame:
     """(repo_path, path, name, start_line, code, description) of functions with documentation that says something.
 
-    Files that do not parse give none. Null contents and paths are passed over; repeated scans that
-    agree fold into one row. Files are read whole, in place.
+    Without ``texts`` only the four keys come out. Files that do not parse give none. Null contents and
+    paths are passed over; repeated scans that agree fold into one row under ``distinct()``. Files are
+    read whole, in place.
     """
+    schema = _PAIRS if texts else _KEYS
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(repos: list, paths: list, contents: list) -> dict[str, list]:
+        rows = [(r, p, *x) for r, p, t in zip(repos, paths, contents) for x in pairs(t, p)]
+        return {n: [x[i] for x in rows] for i, n in enumerate(names)}
+
     wanted = sources.select("repo_path", "path", "content").filter((F.length("content") > 0) & F.lower("path").rlike(r"\.(py|jsx?|ts)$"))
-    return map_columns(spread(wanted), ["repo_path", "path", "content"], _judge, _SCHEMA)
+    return map_columns(spread(wanted), ["repo_path", "path", "content"], run, schema)

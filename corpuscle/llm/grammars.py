@@ -354,6 +354,7 @@ def check_tokens(text: str, language: str, toks: L.Tokens) -> Verdict:
     if language in ("javascript", "typescript", "go", "java") and not n and toks.error < 0:
         return Verdict(language in ("javascript", "typescript") or not text.strip() or language == "java")
     partner, misfit = partners(toks.kinds)
+    toks.mate = partner
     if toks.error < 0 and misfit < 0:
         far = grammar(language).parse(toks.kinds, toks.breaks, partner)
         if far < 0:

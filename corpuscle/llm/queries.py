@@ -90,7 +90,7 @@ def p3_kinds(spark, sf_dir):
 @_query
 def p5_found(spark, sf_dir):
     """Functions with documentation that is not trivial."""
-    return docpairs.documented_functions(table(spark, sf_dir, "sources")).select("repo_path", "path", "name", "start_line").distinct()
+    return docpairs.documented_functions(table(spark, sf_dir, "sources"), texts=False).distinct()
 
 
 @_query

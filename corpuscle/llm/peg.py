@@ -19,7 +19,8 @@ from collections.abc import Callable
 
 from corpuscle.functions.lexing import END
 
-_MEMO_ENTRIES = 400_000
+#: Bounds of the shared memo: entries, and tokens of a group that enters it.
+_MEMO_ENTRIES, _SHARED_TOKENS = 200_000, 200
 _TOKEN = re.compile(r"\s*(?:(@group)|([A-Za-z_]\w*)(\s*<-)?|'([^']+)'|(.))", re.S)
 
 
@@ -151,7 +152,7 @@ class Grammar:
         return f"K[{at}] in {''.join(sorted(f))!r}"
 
     def _build(self, slow: bool) -> Callable:
-        out = ["def make(K, N, M, F, memo):"]
+        out = ["def make(K, N, M, F, memo, own):"]
         self.n = 0
 
         def new() -> str:
@@ -232,11 +233,13 @@ class Grammar:
             if group and not slow:
                 out.append("  m = M[p]")
                 out.append("  if m < 0: return -1")
-                out.append(f"  k = ({j}, K[p:m], N[p:m])")
-                out.append("  v = memo.get(k)")
+                # long groups hardly recur in other files: they are remembered by position, for this parse
+                out.append(f"  if m - p > {_SHARED_TOKENS}: k = ({j}, p); known = own")
+                out.append(f"  else: k = ({j}, K[p:m], N[p:m]); known = memo")
+                out.append("  v = known.get(k)")
                 out.append("  if v is None:")
                 gen(e, "p", "q", "   ")
-                out.append("   v = memo[k] = q >= 0")
+                out.append("   v = known[k] = q >= 0")
                 out.append("  return m + 1 if v else -1")
             else:
                 gen(e, "p", "q", "  ")
@@ -252,9 +255,9 @@ class Grammar:
             sys.setrecursionlimit(60_000)
         if len(self.memo) > _MEMO_ENTRIES:
             self.memo.clear()
-        if self.fast(kinds, breaks, partner, None, self.memo)(0) >= 0:
+        if self.fast(kinds, breaks, partner, None, self.memo, {})(0) >= 0:
             return -1
         far = [0]
-        self.slow(kinds, breaks, partner, far, None)(0)
+        self.slow(kinds, breaks, partner, far, None, None)(0)
         return min(far[0], len(kinds) - 1)
 

@@ -54,11 +54,10 @@ _JS_OPS, _js = _ops(JS_OPS, JS_BINARY, JS_ASSIGN)
 _GO_OPS, _go = _ops(GO_OPS, GO_BINARY, GO_ASSIGN)
 _JAVA_OPS, _java = _ops(JAVA_OPS, JAVA_BINARY, JAVA_ASSIGN)
 _JS_SPACE = r"[ \t\r\f\v﻿ ]"
-_JS = re.compile(rf"{_JS_SPACE}*(?:(?P<nl>\n\s*|[  ])|(?P<w>{_WORD})|(?P<c>//[^\n]*|/\*[\s\S]*?\*/|<!--[^\n]*)|(?P<s>{_STR2}|{_STR1})|(?P<n>{_NUM})|(?P<o>{_js})|(?P<t>`))", re.U)
+_JS = re.compile(rf"{_JS_SPACE}*(?:(?P<nl>\n\s*|[  ])|(?P<w>{_WORD})|(?P<c>//[^\n]*|/\*[\s\S]*?\*/|<!--[^\n]*)|(?P<s>{_STR2}|{_STR1})|(?P<n>{_NUM})|(?P<o>{_js})|(?P<t>`)|(?P<bad>[\s\S])|(?P<end>\Z))", re.U)
 _GO = re.compile(rf"(?P<ws>[ \t\r﻿]+)|(?P<nl>\n)|(?P<w>[^\W\d]\w*)|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n][^'\n]*)')|(?P<n>(?:{_NUM})i?)|(?P<o>{_go})")
 _JAVA = re.compile(rf'(?P<ws>[ \t\r\f﻿]+)|(?P<nl>\n\s*)|(?P<w>[^\W\d]\w*|\$[\w$]*)|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>"""[\s\S]*?(?<!\\)"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n][^\'\n]*)\')|(?P<n>(?:{_NUM})[lLfFdD]?)|(?P<o>{_java})')
 _JSON = re.compile(r'(?P<ws>[ \t\r\n]+)|(?P<s>"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(?P<n>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<w>true|false|null)|(?P<o>[\[\]{},:])')
-_JS_MORE = re.compile(rf"(?!{_JS_SPACE})[\s\S]")
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _TEMPLATE = re.compile(r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`")
 #: After these kinds an operator follows, so that "/" divides and "<" compares.
@@ -189,7 +188,12 @@ def lex_js(text: str, jsx: bool = True) -> Tokens:
             if g == "nl":
                 brk = "1"
                 continue
+            if g == "end":
+                continue
             span = m.span(g)
+            if g == "bad":
+                end = span[0]
+                break
             if g == "w":
                 k = words.get(m[g], "i") if last not in ".Q" else "i"
             elif g == "o":
@@ -244,7 +248,7 @@ def lex_js(text: str, jsx: bool = True) -> Tokens:
             last, brk = k, "0"
         if restart >= 0:
             pos = restart
-        elif end >= n or not _JS_MORE.search(text, end):
+        elif end >= n:
             break
         else:
             out.error = end

@@ -26,7 +26,7 @@ UNIFORMITY = 0.25
 LITERALS_A_WORD, DATA_CHARS = 12.0, 1200
 
 _PROGRAM = {"py", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "java"}
-_BRACES = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|(?<=[(,=:[!&|?{};+\n])\s*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_BRACES = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|(?<=[(,=:[!&|?{};+\n])[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _PYTHON = re.compile(r"#[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _NUMBER = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|\d[\w.]*)")
 _WORD = re.compile(r"[^\W\d]\w*(?!\w*\s*:)")
@@ -78,7 +78,7 @@ def layout(text: str, suffix: str) -> Layout:
     loops = 2 * len(re.findall(r"\bfor\s*\([^)]*;[^)]*;", bare))
     canonical = len(rows) + bare.count(";") if python else bare.count(";") - loops + bare.count("{") + bare.count("}")
     dense = sum(map(len, bare.split())) + literal_chars
-    body = xxhash.xxh64_intdigest("".join(re.sub(r"(?m)^\s*(?:#|//)[^\n]*$|/\*[\s\S]*?\*/", "", text).split()).encode("utf-8", "replace")) - (1 << 63)
+    body = xxhash.xxh64_intdigest("".join(re.sub(r"(?m)^[ \t]*(?:#|//)[^\n]*$|/\*[\s\S]*?\*/", "", text).split()).encode("utf-8", "replace")) - (1 << 63)
     return Layout(len(rows), canonical, shapes, strings + len(numbers), words, literal_chars / max(dense, 1), body)
 
 

@@ -25,6 +25,8 @@ from corpuscle.session import spread
 #: The public vocabulary whose whole words, in order of frequency, are the dictionary; a parameter.
 DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
 REPLACEMENT = "REDACTED"
+#: Longer values are data, not credentials.
+MOST_CHARS = 4096
 
 _NAME_WORD = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|signing[_-]?key|secret[_-]?key|encryption[_-]?key|auth(?:orization)?|credentials?|bearer|jwt"
 #: The same words on lower-case text, and other marks of a credential.
@@ -124,7 +126,7 @@ def credential_name(name: str) -> bool:
 def looks_usable(value: str, strong: bool) -> bool:
     """Whether a value reads as a credential: not a placeholder, reference or prose, and with enough unexplained."""
     v = value.strip()
-    if len(v) < (6 if strong else 8) or len(v) > 4096 or _PLACEHOLDER.search(v):
+    if len(v) < (6 if strong else 8) or len(v) > MOST_CHARS or _PLACEHOLDER.search(v):
         return False
     if " " in v and not re.search(r"(?i)^(?:bearer|basic|token) \S+$", v):
         return False
@@ -137,7 +139,7 @@ def looks_usable(value: str, strong: bool) -> bool:
 
 def _value_after(line: str, at: int, code: bool) -> tuple[list[tuple[int, int]], bool]:
     """(spans of values given to the name that ends at ``at``, whether the value must stand on a later line)."""
-    rest = line[at:]
+    rest = line[at : at + 2 * MOST_CHARS]
     if _CONTINUES.match(rest) and re.search(r"[:=(>|\\]", rest):
         return [], True
     m = re.match(r"['\"\]]*\s*(?:\??:\s*[\w.|<>\[\] ]+?\s*(?==[^=]))?(?::=|=>|=(?!=)|:(?!:)|,(?=\s*['\"]))\s*", rest)

@@ -31,7 +31,7 @@ _LOOKALIKE = str.maketrans("абвекмнорстухіјѕԁһԛԝҮАВЕКМ
 #: The threshold where fewer than ten documents are called toxic, too few to choose one by.
 FEW_LABELS_THRESHOLD = 0.15
 _HIDDEN = re.compile(r"[​-‏⁠﻿­]")
-_SPLIT = re.compile(r"\n+|(?<=[.!?…])[\"')\]]*\s+|\s+[-–—]\s+(?=[A-ZÄÖÜÉÈ])")
+_SPLIT = re.compile(r"\n+|(?<=[.!?…])[\"')\]]*\s+|[ \t][-–—]\s+(?=[A-ZÄÖÜÉÈ])")
 _TOKEN = re.compile(r"[^\s,;:()\[\]{}<>\"“”„«»=/\\`]+")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")
 #: Own example sentences, so that a small set of labels does not leave a language without any.

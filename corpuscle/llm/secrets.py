@@ -29,11 +29,16 @@ REPLACEMENT = "REDACTED"
 MOST_CHARS = 4096
 
 _NAME_WORD = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|signing[_-]?key|secret[_-]?key|encryption[_-]?key|auth(?:orization)?|credentials?|bearer|jwt"
-#: The same words on lower-case text, and other marks of a credential.
-_MARKS = re.compile(rf"{_NAME_WORD}|login|sign_?in|logon|connect\(|unlock|-----begin|://[^\s/'\"<>]*:[^\s/'\"]*@|\bgh[pousr]_|glpat-|xox[abprs]-|\bakia|\basia[a-z0-9]|sk_live|sk_test|aiza|npm_|\bsg\.|basic |--?user\b|\beyj")
+#: Marks of a credential on lower-case text, at least one for every pattern that find_secrets tries; read alike by Python and the JVM.
+_MARK_LIST = [
+    _NAME_WORD, "log[- ]?in", "sign[-_ ]?in", "logon", r"connect\W*\(", "unlock", "opens", "access",
+    "-----begin", r"://[^\s/'\"<>:@]*:[^\s/'\"@]+@", r"basic\W", r"-(?:u|-user)[ =]['\"]?[^\s:'\"]+:",
+    "gh[pousr]_", "glpat-", "xox[abprs]-", "akia", "asia[a-z0-9]", "sk_(?:live|test)_", "aiza", "npm_", r"sg\.", "eyj",
+]
+_MARKS = re.compile("|".join(_MARK_LIST))
 _KEY = re.compile(_NAME_WORD)
-#: The JVM's cheaper test of a whole content.
-_HOT = rf"(?i){_NAME_WORD}|login|sign_?in|logon|connect|unlock|-----BEGIN|://[^\s/'\"<>]*:[^\s/'\"]*@|gh[pousr]_|glpat-|xox[abprs]-|AKIA|ASIA|sk_(?:live|test)_|AIza|npm_|SG\.|Basic |-u |eyJ"
+#: The JVM's test of a whole content: the same marks in any case.
+_HOT = "(?i)" + "|".join(_MARK_LIST)
 #: Parts of a name that make it one of something about a credential, not of one.
 _NEUTRAL = set("file path dir folder field fields hint kind limit limits count counts total url uri link label header headers type types ttl expiry expires expiration length len size min max policy prefix suffix param params prompt placeholder left env var index idx owner priority status score span level depth weight offset region code format pattern regex hash digest checksum fingerprint column table docs doc help error errors message text title note store manager provider factory service class view reader plan frame kinds by for is has get set to load fetch validate check refresh rotate count".split())
 _SECRET_PARTS = set("pass password passwd passphrase passcode pwd secret token apikey key auth authorization credential credentials bearer jwt".split())

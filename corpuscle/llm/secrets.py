@@ -53,6 +53,26 @@ _OPTION = re.compile(r"(?:^|\s)(?:-u|--user)[ =]['\"]?([\w.-]+):([^\s'\"]+)|(?:^
 #: Wording of placeholders.
 _PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|\$\(|%\(|%[A-Z_]+%|^\$|^<.*>$|<[a-z _-]+>|^\{.*\}$|^%s$|\*{3,}|^x{3,}|x{6,}|\.\.\.|your|change|replace|example|dummy|placeholder|insert|redacted|hidden|masked|sample|todo|fixme|none|null|undefined|not[-_ ]?set|secret[-_]?here|key[-_ ]here|^(?:true|false|yes|no|on|off)$|^(?:vault|env|ssm|secretsmanager|arn|file|op|keyring|ref|sops|kms)[:/]|^[./~]|process\.env|os\.environ|getenv|^enc\(|^https?://")
 _CODE_SUFFIX = re.compile(r"(?i)\.(?:py|jsx?|tsx?|go|java|c|cc|cpp|h|rs|rb|php)$")
+_STR = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'"
+_C_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+_LONG = r"{q}{{3}}[^{q}\\]*(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^{q}\\]*)*(?:{q}{{3}}|\Z)"
+_LONG2, _LONG1 = _LONG.format(q='"'), _LONG.format(q="'")
+_HERE = r"<<[-~]?(?P<q>['\"]?)(?P<tag>[A-Za-z_]\w*)(?P=q)[^\n]*\n[\s\S]*?(?:\n[ \t]*(?P=tag)\b|\Z)"
+_LINES2, _LINES1 = r'"(?:[^"\\]|\\[\s\S])*(?:"|\Z)', r"'(?:[^'\\]|\\[\s\S])*(?:'|\Z)"
+#: Strings and comments of program files by suffix; those of JavaScript and TypeScript are read by _texts, as templates nest.
+_TEXTS = {
+    "py": rf"#[^\n]*|{_LONG2}|{_LONG1}|{_STR}",
+    "go": rf"{_C_COMMENT}|`[^`]*(?:`|\Z)|{_STR}",
+    "java": rf"{_C_COMMENT}|{_LONG2}|{_STR}",
+    "c": rf"{_C_COMMENT}|R\"(?P<tag>[^()\s\\]{{0,16}})\([\s\S]*?(?:\)(?P=tag)\"|\Z)|{_STR}",
+    "rs": rf"{_C_COMMENT}|r(?P<tag>#*)\"[\s\S]*?(?:\"(?P=tag)|\Z)|{_LINES2}|'(?:[^'\\\n]|\\[^\n][^'\n]*)'",
+    "rb": rf"#[^\n]*|{_HERE}|{_LINES2}|{_LINES1}",
+    "php": rf"#[^\n]*|{_C_COMMENT}|{_HERE.replace('<<[-~]?', '<<<[ ]?')}|{_LINES2}|{_LINES1}",
+    "js": rf"{_C_COMMENT}|{_STR}|(?<=[(,=:[!&|?{{}};+\n])[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*|[`{{}}]",
+    "": rf"{_LONG2}|{_LONG1}|`[^`]*`",
+}
+_TEXTS = {k: re.compile(v) for k, v in _TEXTS.items()}
+_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{|\Z)")
 _COMMENT = re.compile(r"^\s*(?:#|//|\*|/\*|--|;)")
 #: A literal whose remark says that it opens something.
 _REMARK = re.compile(r"""(?i)^\s*(?:(?:const|let|var|final|String|export|private|static)\s+)*([\w.$-]+)\s*(?::\s*\w+\s*)?(?::=|=|:)\s*["']([^"'\s]+)["'][;,]?\s*(?:\#|//).*\b(?:log[- ]?in|unlocks?|opens|sign[- ]?in|credentials?|password|pass ?code|access)\b""")
@@ -171,6 +191,35 @@ def _value_after(line: str, at: int, code: bool) -> tuple[list[tuple[int, int]],
     return spans, False
 
 
+def _texts(content: str, path: str | None) -> list[tuple[int, int]]:
+    """Spans of a program file's strings and comments, in order; without a path those of strings that may hold lines."""
+    suffix = path.rsplit(".", 1)[-1].lower() if path else ""
+    suffix = {"jsx": "js", "ts": "js", "tsx": "js", "cc": "c", "cpp": "c", "h": "c"}.get(suffix, suffix)
+    pattern = _TEXTS[suffix]
+    if suffix != "js":
+        return [m.span() for m in pattern.finditer(content)]
+    out: list[tuple[int, int]] = []
+    depths: list[int] = []  # open braces in each ${...} around
+    at = 0
+    while m := pattern.search(content, at):
+        at, c = m.end(), m[0]
+        if c == "{" and depths:
+            depths[-1] += 1
+        elif c == "}" and depths and depths[-1]:
+            depths[-1] -= 1
+        elif c == "`" or c == "}" and depths:
+            if c == "}":
+                depths.pop()
+            t = _TEMPLATE_TEXT.match(content, at)
+            out.append((m.start(), t.end()))
+            at = t.end()
+            if t[0].endswith("${"):
+                depths.append(0)
+        elif c not in ("{", "}"):
+            out.append(m.span())
+    return out
+
+
 def find_secrets(content: str, path: str | None = None) -> list[Secret]:
     """All secrets of a content, in order. ``path`` tells program files, where bare words are names, from configuration."""
     low = content.lower()
@@ -193,6 +242,16 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
         if old is None:
             out[offsets[i] + start] = Secret(i + 1, offsets[i] + start, offsets[i] + end, kind)
 
+    texts: list[tuple[int, int]] | None = None
+
+    def inside(at: int) -> bool:
+        """Whether a program file's character stands in a string or comment."""
+        nonlocal texts
+        if texts is None:
+            texts = _texts(content, path)
+        k = bisect_right(texts, (at, total)) - 1
+        return k >= 0 and texts[k][0] < at < texts[k][1]
+
     n, after = len(lines), -1
     for i in numbers:
         if i <= after:
@@ -201,8 +260,7 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
         small = low[offsets[i] : offsets[i] + len(line)]
         quoted = '"' in line or "'" in line or "`" in line
         comment = bool(_COMMENT.match(line))
-        if not quoted and code and not comment and "://" not in line and "-----" not in line and not line.rstrip().endswith(("=", "(", ":", "\\")):
-            continue
+        bare = not code or comment or inside(offsets[i])
         b = _BEGIN.search(line)
         if b:
             j = i
@@ -220,11 +278,11 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
             if not re.search(r"(?i)x{5,}|example|0{8,}", m[1]):
                 add(i, *m.span(1), "issued_key")
         for m in _HEADER.finditer(line):
-            if looks_usable(m[1], True) and re.search(r"(?i)authori[sz]ation|header|curl|bearer|basic", line):
+            if looks_usable(m[1], True) and re.search(r"(?i)authori[sz]ation|header|curl|bearer|basic", line) and (quoted or bare or path is None or inside(offsets[i] + m.start(1))):
                 add(i, *m.span(1), "header")
         for m in _OPTION.finditer(line):
             g = 2 if m[2] else 3
-            if m[g] and not code and looks_usable(m[g], True):
+            if m[g] and looks_usable(m[g], True) and (bare or path is None or inside(offsets[i] + m.start(g))):
                 add(i, *m.span(g), "option")
         for m in re.finditer(r"(?i)\b(?:login|connect|auth(?:enticate)?|sign_?in|logon|basic_?auth)\s*\(\s*(['\"])[^'\"]*\1\s*,\s*(['\"])([^'\"]+)\2\s*[,)]", line):
             if looks_usable(m[3], True):
@@ -244,7 +302,7 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
             done = end
             if not credential_name(line[start:end]):
                 continue
-            spans, later = _value_after(line, end, code and not comment)
+            spans, later = _value_after(line, end, not bare)
             for s, e in spans:
                 v = line[s:e]
                 if looks_usable(v, True) and not _url(v):
@@ -260,7 +318,7 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
                         g = next(g for g in (1, 2, 3) if q[g] is not None)
                         if looks_usable(q[g], True) and not re.match(r"\s*[:=]", nxt[q.end() :]):
                             add(j, *q.span(g), "assignment")
-                    elif not code:
+                    elif not code or bare and not comment:
                         q = re.match(r"\s+([^\s#'\"][^\s'\"]*)\s*$", nxt)
                         if q and not q[1].endswith(":") and looks_usable(q[1], True):
                             add(j, *q.span(1), "assignment")

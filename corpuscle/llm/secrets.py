@@ -25,8 +25,6 @@ from corpuscle.session import spread
 #: The public vocabulary whose whole words, in order of frequency, are the dictionary; a parameter.
 DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
 REPLACEMENT = "REDACTED"
-#: Longer values are data, not credentials.
-MOST_CHARS = 4096
 
 _NAME_WORD = r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|signing[_-]?key|secret[_-]?key|encryption[_-]?key|auth(?:orization)?|credentials?|bearer|jwt"
 #: Marks of a credential on lower-case text, at least one for every pattern that find_secrets tries; read alike by Python and the JVM.
@@ -49,6 +47,8 @@ _HEADER = re.compile(r"(?i)\b(?:bearer|basic|token)\s+([A-Za-z0-9+/=_.\-~]{8,})"
 _ISSUED = re.compile(r"\b(gh[pousr]_[A-Za-z0-9]{30,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|(?:AKIA|ASIA)[A-Z0-9]{16}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})(?![\w])")
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What may stand in a key block: separators, escaped line breaks, headers, lines of the key.
+_BODY = re.compile(r"(?:\\+[nrt]|[\s\"'`+,;\\*#>|()-]|[A-Z][A-Za-z-]*: [^\n\\\"']*|(?<![A-Za-z0-9+/=])(?<!\\)[A-Za-z0-9+/=]{16,}|(?<=\\[nrt])[A-Za-z0-9+/=]{16,})*(?:=?[A-Za-z0-9+/]+={0,2}(?=\s*(?:[\"'`\n\\]|\Z)))?")
 _OPTION = re.compile(r"(?:^|\s)(?:-u|--user)[ =]['\"]?([\w.-]+):([^\s'\"]+)|(?:^|\s)--?(?:password|passwd|pass|token|api-key|secret)[ =]['\"]?([^\s'\"]+)")
 #: Wording of placeholders.
 _PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|\$\(|%\(|%[A-Z_]+%|^\$|^<.*>$|<[a-z _-]+>|^\{.*\}$|^%s$|\*{3,}|^x{3,}|x{6,}|\.\.\.|your|change|replace|example|dummy|placeholder|insert|redacted|hidden|masked|sample|todo|fixme|none|null|undefined|not[-_ ]?set|secret[-_]?here|key[-_ ]here|^(?:true|false|yes|no|on|off)$|^(?:vault|env|ssm|secretsmanager|arn|file|op|keyring|ref|sops|kms)[:/]|^[./~]|process\.env|os\.environ|getenv|^enc\(|^https?://")
@@ -76,7 +76,7 @@ _TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{|\Z)")
 _COMMENT = re.compile(r"^\s*(?:#|//|\*|/\*|--|;)")
 #: A literal whose remark says that it opens something.
 _REMARK = re.compile(r"""(?i)^\s*(?:(?:const|let|var|final|String|export|private|static)\s+)*([\w.$-]+)\s*(?::\s*\w+\s*)?(?::=|=|:)\s*["']([^"'\s]+)["'][;,]?\s*(?:\#|//).*\b(?:log[- ]?in|unlocks?|opens|sign[- ]?in|credentials?|password|pass ?code|access)\b""")
-_CONTINUES = re.compile(r"^['\"]?\s*(?::\s*\w+\s*)?(?::=|=>|=|:)?\s*(?:[\w.]+\()?\s*[(\[{]?\s*(?:[>|][-+]?|\\)?\s*$")
+_CONTINUES = re.compile(r"['\"]?\s*(?::\s*\w+\s*)?(?::=|=>|=|:)?\s*(?:[\w.]+\()?\s*[(\[{]?\s*(?:[>|][-+]?|\\)?\s*$")
 
 
 class Segmenter:
@@ -106,15 +106,24 @@ class Segmenter:
             best[end] = choice
         if len(self.memo) > 200_000:
             self.memo.clear()
-        self.memo[run] = best[n][1]
+        if n <= 64:
+            self.memo[run] = best[n][1]
         return best[n][1]
 
-    def residual(self, value: str) -> int:
-        """Characters of a value that neither words nor plain separators explain; digits count where letters stand beside them."""
-        left = sum(self.letters(m) for m in re.findall(r"[^\W\d_]+", value))
-        digits = sum(map(len, re.findall(r"\d+", value)))
-        signs = len(re.findall(r"[^\w\s.,:/-]", value))
-        return left + (digits + signs if re.search(r"[^\W\d_]", value) or digits >= 6 else 0)
+    def residual(self, value: str, enough: int | None = None) -> int:
+        """Characters of a value that neither words nor plain separators explain; digits count where letters stand beside them.
+
+        Counting may end once ``enough`` are found.
+        """
+        left = len(re.findall(r"\d", value))
+        left += len(re.findall(r"[^\w\s.,:/-]", value))
+        if not re.search(r"[^\W\d_]", value) and len(re.findall(r"\d", value)) < 6:
+            left = 0
+        for m in re.finditer(r"[^\W\d_]+", value):
+            if enough is not None and left >= enough:
+                break
+            left += self.letters(m[0])
+        return left
 
 
 @cache
@@ -133,6 +142,7 @@ class Secret:
     start: int
     end: int
     kind: str
+    stop: int = -1  #: of a key block, where its body ends
 
 
 def credential_name(name: str) -> bool:
@@ -151,44 +161,86 @@ def credential_name(name: str) -> bool:
 def looks_usable(value: str, strong: bool) -> bool:
     """Whether a value reads as a credential: not a placeholder, reference or prose, and with enough unexplained."""
     v = value.strip()
-    if len(v) < (6 if strong else 8) or len(v) > MOST_CHARS or _PLACEHOLDER.search(v):
+    if len(v) < (6 if strong else 8) or _PLACEHOLDER.search(v):
         return False
     if " " in v and not re.search(r"(?i)^(?:bearer|basic|token) \S+$", v):
         return False
     if len(set(v)) < 4 or re.fullmatch(r"[\d.,:-]+", v) and len(v) < 8:
         return False
-    left = segmenter().residual(v)
+    left = segmenter().residual(v, 8)
     mixed = bool(re.search(r"\d", v)) + bool(re.search(r"[^\w]", v)) + bool(re.search(r"[A-Z]", v) and re.search(r"[a-z]", v))
     return left >= 4 and left >= 0.34 * len(v) or left >= 8 or strong and mixed >= 2 and left >= 3
 
 
-def _value_after(line: str, at: int, code: bool) -> tuple[list[tuple[int, int]], bool]:
-    """(spans of values given to the name that ends at ``at``, whether the value must stand on a later line)."""
-    rest = line[at : at + 2 * MOST_CHARS]
-    if _CONTINUES.match(rest) and re.search(r"[:=(>|\\]", rest):
-        return [], True
-    m = re.match(r"['\"\]]*\s*(?:\??:\s*[\w.|<>\[\] ]+?\s*(?==[^=]))?(?::=|=>|=(?!=)|:(?!:)|,(?=\s*['\"]))\s*", rest)
-    if not m:
-        return [], False
-    spans = []
-    pos = m.end()
-    stop = re.compile(r"[,;]\s*['\"]?[\w$-]+['\"]?\s*(?:[=:])(?!=)|[;]\s*$")
-    limit = len(rest)
-    s = stop.search(rest, pos)
-    while s and any(q.start() < s.start() < q.end() for q in _STRING.finditer(rest, pos)):
-        s = stop.search(rest, s.end())
-    if s:
-        limit = s.start()
-    for q in _STRING.finditer(rest, pos):
-        if q.start() >= limit:
-            break
-        g = 1 + [q[1], q[2], q[3]].index(next(x for x in (q[1], q[2], q[3]) if x is not None))
-        spans.append((at + q.start(g), at + q.end(g)))
-    if not spans and not code:
-        b = re.match(r"[^\s;,'\"#][^\s;,'\"]*", rest[pos:])
-        if b:
-            spans.append((at + pos, at + pos + b.end()))
-    return spans, False
+class _Values:
+    """The values given to names of one line. Where strings and the end of a value lie is kept from name to name, so long lines take linear time."""
+
+    _GIVEN = re.compile(r"['\"\]]*\s*(?:\??:[\w.|<>\[\]\s]+?(?==[^=]))?(?::=|=>|=(?!=)|:(?!:)|,(?=\s*['\"]))\s*")
+    _STOP = re.compile(r"[,;]\s*['\"]?[\w$-]+['\"]?\s*(?:[=:])(?!=)|[;]\s*$")
+    _BARE = re.compile(r"[^\s;,'\"#][^\s;,'\"]*")
+
+    def __init__(self, line: str):
+        self.line = line
+        self.strings: list[tuple[int, int]] = []
+        self.limit = -1
+
+    def after(self, at: int, code: bool) -> tuple[list[tuple[int, int]], bool]:
+        """(spans of values given to the name that ends at ``at``, whether the value must stand on a later line)."""
+        line = self.line
+        c = _CONTINUES.match(line, at)
+        if c and re.search(r"[:=(>|\\]", c[0]):
+            return [], True
+        m = self._GIVEN.match(line, at)
+        if not m:
+            return [], False
+        pos = m.end()
+        k = bisect_right(self.strings, (pos, -1))
+        if pos < self.limit and not (k and pos < self.strings[k - 1][1]):  # all strings up to the same end have been given
+            spans, known = [], k < len(self.strings)
+        else:
+            spans = self._read(pos)
+            known = bool(spans)
+        if not known and not code:
+            b = self._BARE.match(line, pos)
+            if b:
+                spans.append(b.span())
+        return spans, False
+
+    def _read(self, pos: int) -> list[tuple[int, int]]:
+        line, spans = self.line, []
+        self.strings, self.limit = [], len(line) + 1
+        s = self._STOP.search(line, pos)
+        for q in _STRING.finditer(line, pos):
+            while s and q.start() < s.start() < q.end():
+                s = self._STOP.search(line, s.end())
+            if s and s.start() <= q.start():
+                break
+            self.strings.append(q.span())
+            spans.append(next(q.span(g) for g in (1, 2, 3) if q[g] is not None))
+        if s:
+            self.limit = s.start()
+        return spans
+
+
+def _key_blocks(content: str) -> list[tuple[int, int, int, int]]:
+    """(start, end of the BEGIN mark, end of the body, end of the block) of every private key, of any length.
+
+    A block without an END mark of its own reaches as far as what follows looks like a key.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    begins = list(_BEGIN.finditer(content))
+    ends = [e.span() for e in _END.finditer(content)] if begins else []
+    for k, b in enumerate(begins):
+        after = begins[k + 1].start() if k + 1 < len(begins) else len(content)
+        j = bisect_right(ends, (b.end(), -1))
+        if j < len(ends) and ends[j][0] < after:
+            stop, end = ends[j]
+        else:
+            stop = end = _BODY.match(content, b.end(), after).end()
+        body = content[b.end() : stop]
+        if re.search(r"[A-Za-z0-9+/=]{16,}", body) and not _PLACEHOLDER.search(body.strip()[:40]):
+            out.append((b.start(), b.end(), stop, end))
+    return out
 
 
 def _texts(content: str, path: str | None) -> list[tuple[int, int]]:
@@ -237,7 +289,14 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
         total += len(x) + 1
     numbers = sorted({bisect_right(offsets, h) - 1 for h in hot})
 
+    blocks = _key_blocks(content) if "-----BEGIN" in content else []
+    for start, end, stop, _ in blocks:
+        out[start] = Secret(bisect_right(offsets, start), start, end, "private_key", stop)
+
     def add(i: int, start: int, end: int, kind: str) -> None:
+        k = bisect_right(blocks, (offsets[i] + end,)) - 1
+        if k >= 0 and offsets[i] + start < blocks[k][3]:  # within a key block
+            return
         old = out.get(offsets[i] + start)
         if old is None:
             out[offsets[i] + start] = Secret(i + 1, offsets[i] + start, offsets[i] + end, kind)
@@ -252,25 +311,13 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
         k = bisect_right(texts, (at, total)) - 1
         return k >= 0 and texts[k][0] < at < texts[k][1]
 
-    n, after = len(lines), -1
+    n = len(lines)
     for i in numbers:
-        if i <= after:
-            continue
         line = lines[i]
         small = low[offsets[i] : offsets[i] + len(line)]
         quoted = '"' in line or "'" in line or "`" in line
         comment = bool(_COMMENT.match(line))
         bare = not code or comment or inside(offsets[i])
-        b = _BEGIN.search(line)
-        if b:
-            j = i
-            while j < n and not _END.search(lines[j], b.end() if j == i else 0):
-                j += 1
-            body = content[offsets[i] + b.end() : offsets[min(j, n - 1)] + (lines[j].find("-----END") if j < n else len(lines[-1]))]
-            if len(re.findall(r"[A-Za-z0-9+/=]{16,}", body)) >= 1 and not _PLACEHOLDER.search(body.strip()[:40]) and j - i < 200:
-                add(i, b.start(), b.end(), "private_key")
-                after = j
-            continue
         for m in _URL_LOGIN.finditer(line):
             if looks_usable(m[2], True) or len(m[2]) >= 4 and not _PLACEHOLDER.search(m[2]) and segmenter().residual(m[2]) >= 3:
                 add(i, *m.span(2), "url_login")
@@ -290,7 +337,7 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
         remark = _REMARK.match(line)
         if remark and looks_usable(remark[2], True) and segmenter().residual(remark[2]) >= 6:
             add(i, *remark.span(2), "remark")
-        done = -1
+        done, values = -1, _Values(line)
         for k in _KEY.finditer(small):
             if k.start() < done:
                 continue
@@ -302,7 +349,7 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
             done = end
             if not credential_name(line[start:end]):
                 continue
-            spans, later = _value_after(line, end, not bare)
+            spans, later = values.after(end, not bare)
             for s, e in spans:
                 v = line[s:e]
                 if looks_usable(v, True) and not _url(v):
@@ -324,7 +371,11 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
                             add(j, *q.span(1), "assignment")
                     break
     got = sorted(out.values(), key=lambda s: s.start)
-    return [s for k, s in enumerate(got) if not k or s.start >= got[k - 1].end]
+    kept: list[Secret] = []
+    for k, s in enumerate(got):
+        if not k or s.start >= max(got[k - 1].end, got[k - 1].stop):
+            kept.append(s)
+    return kept
 
 
 def _url(v: str) -> bool:
@@ -336,10 +387,8 @@ def redact(content: str, secrets: list[Secret]) -> str:
     out, at = [], 0
     for s in secrets:
         if s.kind == "private_key":
-            end = _END.search(content, s.end)
-            stop = end.start() if end else len(content)
-            out.append(content[at : s.end] + re.sub(r"[A-Za-z0-9+/=]{8,}", REPLACEMENT, content[s.end : stop]))
-            at = stop
+            out.append(content[at : s.end] + re.sub(r"[A-Za-z0-9+/=]{8,}", REPLACEMENT, content[s.end : s.stop]))
+            at = s.stop
         else:
             out.append(content[at : s.start] + REPLACEMENT)
             at = s.end

@@ -40,6 +40,10 @@ _LOCK_BODY = re.compile(r"\A\s*\{\s*\"(?:lockfileVersion|name)\"[\s\S]{0,400}?\"
 _NOTICE = re.compile(r"(?i)@licen[sc]e\b.*\d|@preserve|copied (?:unchanged|verbatim) from|upstream (?:at|:)|\bv?\d+\.\d+(?:\.\d+)?\s*\|\s*(?:\(c\)|licen|mit|bsd|apache)|\(c\) .*contributors|redistribution (?:and use )?in source|released under the .* licen|part of the [\w.-]+ (?:distribution|library|package)|vendored from")
 #: Wording of a generator's mark.
 _MARK = re.compile(r"(?i)code generated by|do not (?:edit|modify|change)|@generated|<auto-?generated|auto-?generated (?:file|by|from)|autogenerated|(?:file|source) (?:was |is )?(?:automatically |auto-?)(?:generated|produced|created)|generated (?:source|file|by|from|with)|machine-(?:written|generated)|automatically (?:generated|produced|created)|@Generated\(")
+#: The same marks where a sentence begins, and what makes the sentence one about generated code elsewhere.
+_AFFIRMS = re.compile(r"(?im)(?:^[\s#/*!;=-]*<?!?-{0,2}\s*<?|[.!:;,(-][ \t]+)(?:(?P<own>(?:this|the following) (?:\w+ ){0,2}?(?:file|source|code|class|module|package|parser|client|schema|model)s? (?:(?:was|is|were|are|has been|have been) )?(?:(?:auto(?:matically)?[- ]?)?(?:generated|produced|created)|machine-written) |@Generated\(|warning[:!] (?:auto-?)?generated|do not (?:edit|modify|change)(?=\s*(?:[.!*;,>-]|$| this file| manually| by hand| directly)))|(?:code generated by|@generated\b|auto-?generated\b(?! \w+s\b)|generated (?:source|file|code|by|from|with)\b|machine-(?:written|generated)|automatically (?:generated|produced|created)))(?P<rest>[^.;!\n]*)")
+_QUOTED = re.compile(r"(?<!\w)(?:'[^'\n]*'|\"[^\"\n]*\"|`[^`\n]*`)(?!\w)")
+_ABOUT = re.compile(r"(?i)\b(?:is|are|lives?|goes|go|must|should|can|may|will|gets?|means|stays?|lands?|markers?|marks?|tags?|headers?|annotations?|skipped|ignored)\b")
 
 
 @dataclass(frozen=True)
@@ -88,6 +92,12 @@ def _head(text: str) -> str:
     return m[0] if m else ""
 
 
+def _affirms(head: str) -> bool:
+    """Whether a head says of its own file that it is generated, rather than mention such a mark."""
+    said = _QUOTED.sub("''", head)
+    return any(m["own"] or not _ABOUT.search(m["rest"]) for m in _AFFIRMS.finditer(said))
+
+
 def judge(path: str, text: str) -> tuple[str | None, bool, int | None, float, float, float]:
     """(kind or None, third-party by place or notice, body hash, expansion, shapes, literal share) of a file."""
     name = path.rsplit("/", 1)[-1]
@@ -109,7 +119,7 @@ def judge(path: str, text: str) -> tuple[str | None, bool, int | None, float, fl
         kind = "minified"
     elif s.literals >= 40 and s.literals >= LITERALS_A_WORD * s.words and s.literal_share >= 0.4 and len(text) >= DATA_CHARS:
         kind = "data"
-    elif s.lines >= 12 and s.shapes < UNIFORMITY or s.lines < 60 and s.shapes < 0.5 and _MARK.search(head):
+    elif s.lines >= 12 and s.shapes < UNIFORMITY or _affirms(head):
         kind = "generated"
     elif vendored:
         kind = "vendored"

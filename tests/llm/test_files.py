@@ -40,6 +40,24 @@ def test_kind(path, text, want):
     assert handwritten.judge(path, text)[0] == want
 
 
+VARIED = "".join(f"export function {a}{b}(x) {{\n  const {b} = {a}(x, {b!r});\n  return {b}.{a} + x.{b};\n}}\n" for a, b in (("abcdefgh"[i % 8] * (i + 1), "pqrstuvw"[i % 7] * (i + 2)) for i in range(20)))
+
+
+@pytest.mark.parametrize(
+    "mark",
+    ["// Code generated by weftc v1.2. DO NOT EDIT.\n", "/*\n * This file was automatically generated by weftc.\n */\n", "// <auto-generated>\n", "// @generated by weftc from x.idl\n", "// AUTOGENERATED FILE - see x.idl\n", "// Parser of the grammar x. Generated from x.g4 by weftc\n", "// Machine-written by weftc; run `make x` to rebuild it.\n", "// DO NOT EDIT!\n"],
+)
+def test_a_generators_mark_counts_at_any_length(mark):
+    assert handwritten.layout(VARIED, "js").lines >= 60 and handwritten.layout(VARIED, "js").shapes >= 0.5
+    assert handwritten.judge("src/a.js", VARIED)[0] is None
+    assert handwritten.judge("src/a.js", mark + VARIED)[0] == handwritten.judge("src/a.js", mark + WRITTEN)[0] == "generated"
+
+
+@pytest.mark.parametrize("remark", ["// Skips files that say 'Code generated by x. DO NOT EDIT.'\n", "// Code generated by weftc lives in gen/ and is wrapped here.\n", "// Do not change the order of these imports.\n", "// Auto-generated files are left alone.\n", "// @generated markers stand in the first line.\n"])
+def test_a_remark_about_marks_is_none(remark):
+    assert handwritten.judge("src/a.js", remark + VARIED)[0] is handwritten.judge("src/a.js", remark + WRITTEN)[0] is None
+
+
 def test_copies_are_known_by_their_body(spark):
     rows = [("r", "vendor/x/a.js", WRITTEN), ("s", "src/mine.js", "// moved here\n" + WRITTEN), ("s", "src/other.js", WRITTEN.replace("load", "save")), ("s", "src/other.js", None), ("s", None, WRITTEN), ("s", "e.js", ""), ("r", "vendor/x/a.js", WRITTEN)]
     df = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], SOURCES)

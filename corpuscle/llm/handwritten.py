@@ -24,9 +24,11 @@ EXPANSION = 4.0
 UNIFORMITY = 0.25
 #: Literals for each other word, and characters, from which a program file counts as data.
 LITERALS_A_WORD, DATA_CHARS = 12.0, 1200
+#: Share and characters for each other word from which literals of any number are data.
+DATA_SHARE, CHARS_A_WORD = 0.9, 240
 
 _PROGRAM = {"py", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "java"}
-_BRACES = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|(?<=[(,=:[!&|?{};+\n])[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_BRACES = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|(?<=[(,=:[!&|?{};+\n])[ \t]*/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _PYTHON = re.compile(r"#[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _NUMBER = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|\d[\w.]*)")
 _WORD = re.compile(r"[^\W\d]\w*(?!\w*\s*:)")
@@ -57,20 +59,27 @@ class Layout:
     words: int
     literal_share: float
     body: int
+    data_share: float  #: without docstrings
+    data_chars: int
 
 
 def layout(text: str, suffix: str) -> Layout:
     """Lex a program text and compare its layout with the canonical one."""
     python = suffix == "py"
-    code, strings, literal_chars, at = [], 0, 0, 0
+    code, strings, literal_chars, at, last, doc_chars = [], 0, 0, 0, "", 0
     for m in (_PYTHON if python else _BRACES).finditer(text):
         code.append(text[at : m.start()])
+        last = code[-1].rstrip()[-1:] or last
         at = m.end()
         c = m[0].lstrip()[:2]
         if c[0] == "#" or c in ("//", "/*"):
             continue
         strings += 1
         literal_chars += len(m[0])
+        if python and last in ("", ":") and m[0][:3] in ('"""', "'''"):
+            doc_chars += len(m[0])
+        else:
+            last = '"'
         code.append('""')
     code.append(text[at:])
     bare = "".join(code)
@@ -83,7 +92,7 @@ def layout(text: str, suffix: str) -> Layout:
     canonical = len(rows) + bare.count(";") if python else bare.count(";") - loops + bare.count("{") + bare.count("}")
     dense = sum(map(len, bare.split())) + literal_chars
     body = xxhash.xxh64_intdigest("".join(re.sub(r"(?m)^[ \t]*(?:#|//)[^\n]*$|/\*[\s\S]*?\*/", "", text).split()).encode("utf-8", "replace")) - (1 << 63)
-    return Layout(len(rows), canonical, shapes, strings + len(numbers), words, literal_chars / max(dense, 1), body)
+    return Layout(len(rows), canonical, shapes, strings + len(numbers), words, literal_chars / max(dense, 1), body, (literal_chars - doc_chars) / max(dense - doc_chars, 1), literal_chars - doc_chars)
 
 
 def _head(text: str) -> str:
@@ -119,6 +128,8 @@ def judge(path: str, text: str) -> tuple[str | None, bool, int | None, float, fl
         kind = "minified"
     elif s.literals >= 40 and s.literals >= LITERALS_A_WORD * s.words and s.literal_share >= 0.4 and len(text) >= DATA_CHARS:
         kind = "data"
+    elif s.data_share >= DATA_SHARE and s.data_chars >= DATA_CHARS and s.data_chars >= CHARS_A_WORD * s.words:
+        kind = "data"
     elif s.lines >= 12 and s.shapes < UNIFORMITY or _affirms(head):
         kind = "generated"
     elif vendored:

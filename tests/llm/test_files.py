@@ -58,6 +58,26 @@ def test_a_remark_about_marks_is_none(remark):
     assert handwritten.judge("src/a.js", remark + VARIED)[0] is handwritten.judge("src/a.js", remark + WRITTEN)[0] is None
 
 
+BLOB = "Ab3+" * 50_000
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("a.js", f'export const BLOB = "{BLOB}";\n', "data"),
+        ("a.py", f'BLOB = """\n{BLOB}\n"""\n', "data"),
+        ("A.java", f'class A {{\n  static final String BLOB = """\n{BLOB}\n""";\n}}\n', "data"),
+        ("a.go", f"package a\n\nvar blob = `{BLOB}`\n", "data"),
+        ("a.py", "KEY = (\n" + "".join(f'    "{i:064x}"\n' for i in range(30)) + ")\n", "data"),
+        ("a.js", f'{WRITTEN}const p = "{BLOB}";\n', "data"),
+        ("a.py", '"""' + "What this package is for. " * 200 + '"""\n', None),
+        ("a.py", '"""Head."""\n\ndef f():\n    """' + "What this function is for. " * 200 + '"""\n', None),
+    ],
+)
+def test_few_giant_literals_are_data(path, text, want):
+    assert handwritten.judge(path, text)[0] == want
+
+
 def test_copies_are_known_by_their_body(spark):
     rows = [("r", "vendor/x/a.js", WRITTEN), ("s", "src/mine.js", "// moved here\n" + WRITTEN), ("s", "src/other.js", WRITTEN.replace("load", "save")), ("s", "src/other.js", None), ("s", None, WRITTEN), ("s", "e.js", ""), ("r", "vendor/x/a.js", WRITTEN)]
     df = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], SOURCES)

@@ -40,6 +40,7 @@ _LOCK = re.compile(r"(?:^|/)(?:package-lock|npm-shrinkwrap|composer\.lock|yarn\.
 _LOCK_BODY = re.compile(r"\A\s*\{\s*\"(?:lockfileVersion|name)\"[\s\S]{0,400}?\"(?:lockfileVersion|packages|dependencies)\"|\A# yarn lockfile|\A# This file is automatically @generated|\AlockfileVersion:")
 #: Wording of a library's notice, beyond a mere copyright line.
 _NOTICE = re.compile(r"(?i)@licen[sc]e\b.*\d|@preserve|copied (?:unchanged|verbatim) from|upstream (?:at|:)|\bv?\d+\.\d+(?:\.\d+)?\s*\|\s*(?:\(c\)|licen|mit|bsd|apache)|\(c\) .*contributors|redistribution (?:and use )?in source|released under the .* licen|part of the [\w.-]+ (?:distribution|library|package)|vendored from")
+_LEADING = re.compile(r"\s*(?:#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->)")
 #: Wording of a generator's mark.
 _MARK = re.compile(r"(?i)code generated by|do not (?:edit|modify|change)|@generated|<auto-?generated|auto-?generated (?:file|by|from)|autogenerated|(?:file|source) (?:was |is )?(?:automatically |auto-?)(?:generated|produced|created)|generated (?:source|file|by|from|with)|machine-(?:written|generated)|automatically (?:generated|produced|created)|@Generated\(")
 #: The same marks where a sentence begins, and what makes the sentence one about generated code elsewhere.
@@ -97,8 +98,10 @@ def layout(text: str, suffix: str) -> Layout:
 
 def _head(text: str) -> str:
     """The comments before any code."""
-    m = re.match(r"\A(?:\s*(?:#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->))+", text[:6000])
-    return m[0] if m else ""
+    at = 0
+    while m := _LEADING.match(text, at):
+        at = m.end()
+    return text[:at]
 
 
 def _affirms(head: str) -> bool:
@@ -114,13 +117,13 @@ def judge(path: str, text: str) -> tuple[str | None, bool, int | None, float, fl
     head = _head(text)
     vendored = bool(_VENDOR_DIR.search(path)) or bool(_NOTICE.search(head))
     if suffix not in _PROGRAM:
-        if _LOCK.search(path) or _LOCK_BODY.search(text[:2000]):
+        if _LOCK.search(path) or _LOCK_BODY.match(text):
             return "generated", vendored, None, 0.0, 0.0, 0.0
         if _MARK.search(head) and suffix != "md":
             return "generated", vendored, None, 0.0, 0.0, 0.0
         return ("vendored" if vendored and suffix not in ("md", "") else None), vendored, None, 0.0, 0.0, 0.0
     if text.lstrip()[:1] in ("{", "["):  # bare JSON: only its suffix is wrong
-        return ("generated" if _LOCK_BODY.search(text[:2000]) else "vendored" if vendored else None), vendored, None, 0.0, 0.0, 0.0
+        return ("generated" if _LOCK_BODY.match(text) else "vendored" if vendored else None), vendored, None, 0.0, 0.0, 0.0
     s = layout(text, suffix)
     expansion = s.canonical / max(s.lines, 1)
     kind = None

@@ -78,6 +78,15 @@ def test_few_giant_literals_are_data(path, text, want):
     assert handwritten.judge(path, text)[0] == want
 
 
+@pytest.mark.parametrize(("start", "line", "end"), [("/*\n", " * words of a licence\n", " */\n"), ("", "// words of a licence\n", "")])
+def test_long_heads_are_read_whole(start, line, end):
+    head = start + line * 1000
+    assert handwritten.judge("src/a.js", head + end + WRITTEN)[:2] == (None, False)
+    assert handwritten.judge("src/a.js", head + line.replace("words of a licence", "lib v1.2.3 | (c) the lib contributors | MIT") + end + WRITTEN)[:2] == ("vendored", True)
+    assert handwritten.judge("src/a.js", head + line.replace("words of a licence", "Code generated by weftc. DO NOT EDIT.") + end + VARIED)[0] == "generated"
+    assert handwritten.judge("a.json", "\n" * 3000 + '{"lockfileVersion": 2, "packages": {}}')[0] == "generated"
+
+
 def test_copies_are_known_by_their_body(spark):
     rows = [("r", "vendor/x/a.js", WRITTEN), ("s", "src/mine.js", "// moved here\n" + WRITTEN), ("s", "src/other.js", WRITTEN.replace("load", "save")), ("s", "src/other.js", None), ("s", None, WRITTEN), ("s", "e.js", ""), ("r", "vendor/x/a.js", WRITTEN)]
     df = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], SOURCES)

@@ -6,6 +6,7 @@ A token is (kind, start, end); kinds are single characters so that a file's toke
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 #: Kind of the token behind the last.
@@ -68,7 +69,7 @@ _HEADS = {JS_KINDS[w] for w in ("if", "while", "for", "with")}
 
 @dataclass
 class Tokens:
-    """Kinds (ended by END), where each token starts and ends, a line-break flag each, comments, where lexing failed, bracket partners once known."""
+    """Kinds (ended by END), where each token starts and ends, a line-break flag each, comments, where lexing failed, bracket partners once known, code within templates and JSX."""
 
     kinds: str = END
     breaks: str = "1"
@@ -76,6 +77,77 @@ class Tokens:
     comments: list[tuple[int, int]] = field(default_factory=list)
     error: int = -1
     mate: list[int] | None = None
+    holes: list[Hole] = field(default_factory=list)
+    closed: bool = False
+
+
+@dataclass
+class Hole:
+    """Code in braces within a template (kind t) or JSX element (v: an attribute's value, s: attributes spread, c: a child): its tokens and where its brace closes, -1 if lexing did not reach that."""
+
+    kind: str
+    start: int
+    toks: Tokens
+    end: int = -1
+
+
+#: Names and members, which are an expression whatever stands around.
+_PLAIN_HOLE = re.compile(r"\s*([A-Za-z_$][\w$]*)(?:\.[A-Za-z_$][\w$]*)*\s*\}")
+_TEMPLATE_CHARS = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
+
+
+class _Within:
+    """Ends of templates and JSX elements by lexing the code within them, each position once."""
+
+    def __init__(self, text: str, jsx: bool):
+        self.text, self.jsx = text, jsx
+        self.known: dict[tuple[str, int], tuple[int, list[Hole]]] = {}
+        self.lexed: dict[int, tuple[Tokens, int]] = {}
+        self.open = -1  # the last brace known not to be closed, so none around it is
+
+    def end(self, kind: str, at: int) -> tuple[int, list[Hole]]:
+        """(end of the template (t) or element (x) at ``at``, -1 if there is none, and the code within)."""
+        got = self.known.get((kind, at))
+        if got is None:
+            holes: list[Hole] = []
+            e = (self._template if kind == "t" else self._element)(at, holes)
+            got = self.known[kind, at] = (e, holes)
+        return got
+
+    def _hole(self, at: int, kind: str, holes: list[Hole]) -> int:
+        """End of the braces whose code starts at ``at``; if it cannot be lexed, where brackets alone put it."""
+        m = _PLAIN_HOLE.match(self.text, at)
+        if m and m[1] not in JS_KINDS and kind != "s":
+            return m.end()
+        got = self.lexed.get(at)
+        if got is None:
+            toks = _lex_js(self.text, self.jsx, at, self)
+            got = self.lexed[at] = (toks, toks.spans.pop()[1] - 1 if toks.closed else -1)
+            if got[1] >= 0:
+                toks.kinds, toks.breaks = toks.kinds[:-2] + END, toks.breaks[:-2] + "1"
+        holes.append(Hole(kind, at, *got))
+        if got[1] >= 0:
+            return got[1] + 1
+        end = _braces(self.text, at - 1) if at > self.open else -1
+        if end < 0:
+            self.open = max(self.open, at)
+        return end
+
+    def _template(self, at: int, holes: list[Hole]) -> int:
+        text = self.text
+        at += 1
+        while True:
+            at = _TEMPLATE_CHARS.match(text, at).end()
+            if text[at : at + 1] == "`":
+                return at + 1
+            if text[at : at + 2] != "${":
+                return -1
+            at = self._hole(at + 2, "t", holes)
+            if at < 0:
+                return -1
+
+    def _element(self, at: int, holes: list[Hole]) -> int:
+        return _jsx(self.text, at, lambda a, kind: self._hole(a + 1, kind, holes))
 
 
 def _template(text: str, at: int) -> int:
@@ -131,8 +203,9 @@ def _braces(text: str, at: int) -> int:
     return -1
 
 
-def _jsx(text: str, at: int) -> int:
-    """End of the JSX element at ``at``; -1 if there is none."""
+def _jsx(text: str, at: int, hole: Callable[[int, str], int] | None = None) -> int:
+    """End of the JSX element at ``at``; -1 if there is none. ``hole`` ends the braces at a place, given what they are."""
+    hole = hole or (lambda a, _: _braces(text, a))
     stack: list[str] = []
     n = len(text)
     while at < n:
@@ -145,7 +218,7 @@ def _jsx(text: str, at: int) -> int:
                     break
                 at = a.end()
                 if a[1] or a[2]:
-                    at = _braces(text, at - 1)
+                    at = hole(at - 1, "v" if a[1] else "s")
                     if at < 0:
                         return -1
             e = re.compile(r"\s*(/?)>").match(text, at)
@@ -160,7 +233,7 @@ def _jsx(text: str, at: int) -> int:
             if not stack:
                 return at
         elif text[at] == "{":
-            at = _braces(text, at)
+            at = hole(at, "c")
             if at < 0:
                 return -1
         else:
@@ -168,13 +241,22 @@ def _jsx(text: str, at: int) -> int:
     return -1
 
 
-def lex_js(text: str, jsx: bool = True) -> Tokens:
-    """JavaScript and TypeScript tokens; regular expressions, templates and JSX elements are one token each."""
+def lex_js(text: str, jsx: bool = True, holes: bool = False) -> Tokens:
+    """JavaScript and TypeScript tokens; regular expressions, templates and JSX elements are one token each.
+
+    With ``holes`` the code within templates and JSX elements is lexed too.
+    """
+    return _lex_js(text, jsx, -1, _Within(text, jsx) if holes else None)
+
+
+def _lex_js(text: str, jsx: bool, start: int, within: _Within | None) -> Tokens:
+    """Tokens from ``start`` to the first "}" without a partner, or of a whole text if ``start`` is -1."""
     out = Tokens()
     kinds, breaks, spans = [], [], out.spans
-    pos, n, last, brk = 0, len(text), ";", "1"
+    pos, n, last, brk = max(start, 0), len(text), ";" if start < 0 else "(", "1"
     heads: list[bool] = []
-    if text.startswith("#!"):
+    depth = -1 if start < 0 else 0
+    if start < 0 and text.startswith("#!"):
         pos = text.find("\n") if "\n" in text else n
     words = JS_KINDS
     while pos < n:
@@ -209,14 +291,26 @@ def lex_js(text: str, jsx: bool = True) -> Tokens:
                     last, brk, restart = "r", "0", r.end()
                     break
                 if s[0] == "<" and jsx and last not in _AFTER_VALUE and re.match(r"<(?:>|[A-Za-z])", text[span[0] : span[0] + 2]):
-                    e = _jsx(text, span[0])
+                    e, inner = within.end("x", span[0]) if within else (_jsx(text, span[0]), [])
                     if e > 0:
+                        out.holes += inner
                         kinds.append("x")
                         breaks.append(brk)
                         spans.append((span[0], e))
                         last, brk, restart = "x", "0", e
                         break
+                    if within and 0 <= start < within.open:  # no brace around can be closed
+                        end = span[0]
+                        break
                 k = _JS_OPS[s]
+                if depth >= 0 and k in "{}":
+                    depth += 1 if k == "{" else -1
+                    if depth < 0:
+                        kinds.append(k)
+                        breaks.append(brk)
+                        spans.append(span)
+                        out.closed, end = True, n
+                        break
                 if k == "(":
                     heads.append(last in _HEADS)
                 elif k == ")" and heads and heads.pop():  # a statement follows, so "/" opens a regular expression
@@ -231,10 +325,11 @@ def lex_js(text: str, jsx: bool = True) -> Tokens:
                     brk = "1"
                 continue
             elif g == "t":
-                e = _template(text, span[0])
+                e, inner = within.end("t", span[0]) if within else (_template(text, span[0]), [])
                 if e < 0:
                     end = span[0]
                     break
+                out.holes += inner
                 kinds.append("t")
                 breaks.append(brk)
                 spans.append((span[0], e))

@@ -74,8 +74,8 @@ def python_functions(text: str) -> list[Function] | None:
 
 def script_functions(text: str, jsx: bool) -> tuple[list[Function], L.Tokens] | None:
     """The same of JavaScript or TypeScript, with arrow constants; None if the text does not parse."""
-    toks = L.lex_js(text, jsx)
     try:
+        toks = L.lex_js(text, jsx, holes=True)
         if not check_tokens(text, "javascript" if jsx else "typescript", toks).valid:
             return None
     except RecursionError:

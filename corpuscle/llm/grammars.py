@@ -344,10 +344,45 @@ def _cause(text: str, at: int, unclosed: bool) -> str:
 def tokens(text: str, language: str, jsx: bool = True) -> L.Tokens:
     """Tokens of a text in one of the languages with a grammar here."""
     if language in ("javascript", "typescript"):
-        return L.lex_js(text, jsx)
+        return L.lex_js(text, jsx, holes=True)
     return {"go": L.lex_go, "java": L.lex_java, "json": L.lex_json}[language](text)
 
 
+_TYPE_OF = L.JS_KINDS["type"] + "i="
+
+
+def _hole_error(text: str, language: str, holes: list[L.Hole]) -> int:
+    """Furthest position reached in the first piece of code within templates and JSX that is wrong; -1 if none is."""
+    for h in holes:
+        t = h.toks
+        if h.end < 0:
+            return t.error if t.error >= 0 else len(text)
+        kinds, breaks, spans = t.kinds[:-1], t.breaks[:-1], t.spans
+        if h.kind in "sc" and kinds[:1] == "E":
+            kinds, breaks, spans = kinds[1:], breaks[1:], spans[1:]
+            if not kinds:
+                return h.end
+        elif h.kind == "s":
+            return h.start
+        if not kinds:
+            if h.kind == "c":
+                continue
+            return h.end
+        wrapped = f"({kinds}){END}"
+        partner, misfit = partners(wrapped)
+        far = misfit if misfit >= 0 else grammar(language).parse(wrapped, f"0{breaks}01", partner)
+        if far >= 0 and misfit < 0 and h.kind == "t" and language == "typescript":  # a template may be a type
+            as_type = f"{_TYPE_OF}{kinds};{END}"
+            if grammar(language).parse(as_type, f"000{breaks}01", partners(as_type)[0]) < 0:
+                far = -1
+        if far >= 0:
+            return spans[far - 1][0] if 0 < far <= len(spans) else h.end if far else h.start
+        at = _hole_error(text, language, t.holes)
+        if at >= 0:
+            return at
+    return -1
+
+
 def check_tokens(text: str, language: str, toks: L.Tokens) -> Verdict:
     """Whether a token sequence is a sentence of its language's grammar."""
     n = len(toks.spans)
@@ -358,7 +393,8 @@ def check_tokens(text: str, language: str, toks: L.Tokens) -> Verdict:
     if toks.error < 0 and misfit < 0:
         far = grammar(language).parse(toks.kinds, toks.breaks, partner)
         if far < 0:
-            return Verdict(True)
+            at = _hole_error(text, language, toks.holes)
+            return Verdict(True) if at < 0 else Verdict(False, at, _cause(text, at, at >= len(text)))
         at = toks.spans[far][0] if far < n else len(text)
         return Verdict(False, at, _cause(text, at, far >= n))
     ends = [x for x in (toks.error, len(text) if misfit >= n else toks.spans[misfit][0] if misfit >= 0 else -1) if x >= 0]

@@ -51,6 +51,37 @@ def test_invalid(language, text):
     assert not verdict.valid and 0 <= verdict.position <= len(text) and verdict.cause
 
 
+WITHIN = [
+    "const a = <ul>{rows.map(x => (\n<<<<<<< HEAD\n<li/>\n=======\n<b/>\n>>>>>>> x\n))}</ul>", "const a = <p>{x y}</p>", "const a = <p b={c d}/>", "const a = <p b={}/>", "const a = <p {b}/>", "const a = <p>{f(}</p>", "const a = <p>{<b>{c d}</b>}</p>",
+    "const a = `x ${a b} y`", "const a = `${}`", "const a = `x ${`y ${a b}`}`", "const a = `${if (x) y}`", "const a = `${f(1,}`",
+]
+
+
+@pytest.mark.parametrize("text", WITHIN)
+def test_code_within_jsx_and_templates_is_parsed(text):
+    v = check(text, "javascript")
+    assert not v.valid and 0 < v.position <= len(text) and v.cause
+    assert v.cause == "conflict" or "<<<<" not in text
+    if "`" in text:
+        assert not check(text, "typescript", False).valid
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["const a = <p>{'}'}{/* { */}{x /* } */}{}</p>", "const a = <p {...b} c={d ? <i>don't {e}</i> : null}>it's {...f} {g => ({ h: `}` })}</p>", "const a = `${{ a: '}' }.a} ${`${b}`} ${/[}`]/.test(c)} ${d => { return e }}`", "const a = <p>{x < y ? `a ${b}` : (z, 1)}</p>", "const a = `${await_(b)}${this.c}${a, b}\\${ d`"],
+)
+def test_right_code_within_jsx_and_templates(text):
+    assert check(text, "javascript").valid
+
+
+def test_template_types_and_deep_holes():
+    assert check("type A<K> = `get${Capitalize<K & string>}` | `${infer_[]}` | `a${string}`", "typescript", False).valid
+    assert check("x = " + "`${" * 200 + "1" + "}`" * 200, "javascript").valid
+    check("x = " + "<a>{" * 3000, "javascript")
+    check("x = " + "<a>{b c " * 40, "javascript")
+    check("x = " + "`${" * 20_000, "javascript")
+
+
 def test_furthest_position_and_cause():
     text = "a();\n<<<<<<< HEAD\nb();\n=======\nc();\n>>>>>>> x\n"
     v = check(text, "javascript")

@@ -100,6 +100,21 @@ class ChunkStore:
         self._publish(version)
         return count
 
+    def replace_repos(self, repos: DataFrame, rows: DataFrame) -> int:
+        """Publish ``rows`` as all of the repositories ``repos`` (repo_path) as one version and return their number; those without rows leave the store.
+
+        Keys are collected, one a repository; rows are written once, by repository.
+        """
+        name = f"data/{uuid.uuid4().hex[:12]}"
+        key = F.substring(F.md5(F.col("repo_path").cast("binary")), 1, 12)
+        rows.withColumn("repo_key", key).select(*_COLUMNS).withColumn("part", key).hint("rebalance", "part").write.partitionBy("part").parquet(os.path.join(self.path, name))
+        version = self.version()
+        for (k,) in repos.select(key).distinct().collect():
+            version.pop(k, None)
+        made = {d.removeprefix("part="): f"{name}/{d}" for d in os.listdir(os.path.join(self.path, name)) if d.startswith("part=")}
+        self._publish(version | made)
+        return self.spark.read.schema(STORE).parquet(*(os.path.join(self.path, d) for d in made.values())).count() if made else 0
+
     def add(self, repo_path: str, rows: DataFrame) -> int:
         """W2 within a repository; an empty table changes nothing."""
         if rows.isEmpty():

@@ -466,7 +466,7 @@ def q47_decode(spark, sf_dir):
 
 @query()
 def q48_engine(spark, sf_dir):
-    """This package indexed into a fresh store in the cluster's shared folder, then searched."""
+    """All repositories of the sources indexed into a fresh store in the cluster's shared folder, then searched."""
     import tempfile
     import uuid
 
@@ -474,5 +474,5 @@ def q48_engine(spark, sf_dir):
 
     shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
     engine = Engine(spark, os.path.join(shared, f"engine-{uuid.uuid4().hex}"))
-    engine.index(str(Path(__file__).resolve().parents[1] / "functions"))
+    engine.index_table(table(spark, sf_dir, "sources"))
     return engine.search("how are files decoded", 5).select("chunk_id", "name", "distance", "rank")

@@ -12,7 +12,7 @@ from corpuscle.operators.embed import Embedder, HashingEmbedder, embed_column, e
 from corpuscle.operators.parse import parse_files
 from corpuscle.operators.split import MAX_TOKENS, OVERLAP_LINES, TokenCounter, count_tokens
 from corpuscle.operators.store import ChunkStore
-from corpuscle.session import checkpoint
+from corpuscle.session import checkpoint, spread
 from corpuscle.sources.repo_files import normalise_root, scan
 
 
@@ -61,6 +61,38 @@ class Engine:
         total = self.store.replace_repo(repo, kept.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh.select(*old.columns)))
         return result | {"failed": failed, "total_chunks": total}
 
+    def index_table(self, sources: DataFrame) -> dict[str, int]:
+        """:meth:`index` of all repositories of a table of sources (repo_path, path, last_modified, content) at once.
+
+        A repository that has rows is taken to be there whole; others are left as they are. Paths are
+        absolute, as a scan gives them. Repeated scans of a file fold into one, the newest. Rows with a
+        null repo_path or path name no file.
+        """
+        given = sources.select(F.regexp_replace("repo_path", "(?<=.)/+$", "").alias("repo_path"), "path", "last_modified", "content").dropna(subset=["repo_path", "path"])
+        repos = given.select("repo_path").distinct()
+        old = self.store.read().join(repos, "repo_path", "left_semi")
+        known = stats.indexed_files(old.withColumn("last_modified", F.col("meta.last_modified"))).withColumnRenamed("file_path", "path")
+        plan = checkpoint(diff.classify(parsable(given).select("repo_path", "path", "last_modified"), known))
+        result = {s: 0 for s in ("new", "changed", "unchanged", "removed")} | {r["status"]: r["count"] for r in plan.groupBy("status").count().collect()}
+        if not (result["new"] or result["changed"] or result["removed"]):
+            return result | {"failed": 0, "total_chunks": self.store.count()}
+        todo = plan.filter("status in ('new', 'changed')").select("repo_path", "path", F.col("current_time").alias("last_modified"))
+        texts = given.join(todo.withColumnRenamed("last_modified", "newest"), ["repo_path", "path"]).filter("last_modified <=> newest").drop("newest")
+        # equal copies give equal elements; of unequal ones of one time dedupe keeps the first chunk by key
+        elements = checkpoint(parse_files(spread(texts.select("repo_path", "path", "content"))).distinct())
+        built = dedupe_chunks(build_chunks(elements, self.counter, self.max_tokens, self.overlap, self.line_mode))
+        times = todo.select("repo_path", F.col("path").alias("file_path"), F.col("last_modified").alias("mtime"))
+        made = checkpoint(built.join(times, ["repo_path", "file_path"], "left").withColumn("meta", F.col("meta").withField("last_modified", F.col("mtime"))).drop("mtime"))
+        # vectors are wide: they are made as the store is written, not kept besides
+        vectors = embed_column(made, "chunk_id", "content", self.embedder)
+        fresh = made.join(embedded(vectors), "chunk_id").withColumn("repo_key", F.lit(None).cast("string"))
+        touched = plan.filter("status <> 'unchanged'").select("repo_path").distinct()
+        gone = plan.filter("status in ('changed', 'removed')").select("repo_path", F.col("path").alias("file_path"))
+        kept = old.join(touched, "repo_path", "left_semi").join(gone, ["repo_path", "file_path"], "left_anti").join(made.select("chunk_id"), "chunk_id", "left_anti")
+        wanted = made.count() + kept.count()
+        written = self.store.replace_repos(touched, kept.select(*old.columns).unionByName(fresh.select(*old.columns)))
+        return result | {"failed": wanted - written, "total_chunks": self.store.count()}
+
     def search(self, query: str, top_k: int = 5, repo_path: str | None = None, metric: str = "l2sq") -> DataFrame:
         """Hits of a text, nearest first by ``rank``. A blank text finds nothing."""
         store = self.store.read(repo_path).filter(F.col("embedder_id") == self.embedder.embedder_id)

@@ -63,6 +63,33 @@ def test_index_search_ask(spark, tree, tmp_path):
     assert names == {"write_file", "priv"}
 
 
+def test_index_table(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    schema = "repo_path string, path string, last_modified double, content string, kind int"
+    rows = [("/r", "a.py", 1.0, "def read_file(path):\n    return path\n", 1), ("/r/", "a.py", 1.0, "def read_file(path):\n    return path\n", 1), ("/s", "a.py", 1.0, "def shout():\n    pass\n", 1), ("/s", "b.js", 1.0, "function other() {}\n", 1), ("/s", "c.md", 1.0, "text", 1), (None, "a.py", 1.0, "def lost(): pass\n", 1), ("/s", "n.py", 1.0, None, 1)]
+    first = engine.index_table(spark.createDataFrame(rows, schema))
+    assert first["new"] == 4 and first["total_chunks"] == 3 and first["failed"] == 0
+    assert engine.store.repos() == ["/r", "/s"] and engine.store.count("/s") == 2
+    assert engine.search("read file", 1).collect()[0].name == "read_file"
+    engine.index(str(tree))
+    rows[2] = ("/s", "a.py", 2.0, "def whisper():\n    pass\n", 1)
+    second = engine.index_table(spark.createDataFrame([rows[2]], schema))
+    assert (second["changed"], second["removed"], second["total_chunks"]) == (1, 1, 5)
+    assert {r.name for r in engine.store.read("/s").collect()} == {"whisper"} and engine.store.count("/r") == 1 and engine.store.count(str(tree)) == 3
+    assert engine.index_table(spark.createDataFrame([rows[2]], schema))["unchanged"] == 1
+
+
+def test_q48_searches_the_sources(spark):
+    from corpuscle.plans.catalogue import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data")
+    got = {r.name for r in QUERIES["q48_engine"](spark, data).collect()}
+    texts = "".join(r.content or "" for r in spark.read.parquet(f"{data}/sources.parquet").select("content").collect())
+    assert len(got) > 0 and all(n.split(" ")[0] in texts for n in got)
+
+
 def test_streaming_upsert(spark, tmp_path):
     from corpuscle.streaming.index import upsert_stream
 

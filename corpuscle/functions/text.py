@@ -74,6 +74,12 @@ def file_label(name: Column, extension: Column, size: Column) -> Column:
     return F.concat(name, F.lit(" ("), extension, F.lit(", "), size_label(size), F.lit(")"))
 
 
+def source_label(name: Column, lines: Column, encoding: Column, size: Column, loaded: Column) -> Column:
+    """T7, the other form: name (lines, encoding, state) once lines are known and not 0, else name (size, state)."""
+    state = F.when(loaded, "loaded").otherwise("lazy")
+    return F.when(F.coalesce(lines, F.lit(0)) != 0, F.format_string("%s (%d lines, %s, %s)", name, lines, encoding, state)).otherwise(F.format_string("%s (%s, %s)", name, size_label(size), state))
+
+
 def strip_quotes(text: Column) -> Column:
     """Quotes off both ends."""
     return F.regexp_replace(text, "^['\"]+|['\"]+$", "")

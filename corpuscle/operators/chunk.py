@@ -34,7 +34,8 @@ def build_chunks(elements: DataFrame, counter: TokenCounter = count_tokens, budg
     """Chunks of the elements, before dedupe, with ``order`` and ``segment_order`` for it.
 
     Order within a file is that of the pipeline: each class and then its methods, then functions;
-    imports are never chunked. The class context is not weighed against the budget. Extra columns of
+    imports are never chunked. The class context is not weighed against the budget. The id of a split
+    chunk holds its element's first line, with ``line_mode='compat'`` its segment's. Extra columns of
     ``elements`` are dropped. Elements cross to Python once and are shuffled once, for the join.
     """
     given = elements.select("repo_path", "path", "language", "seq", "type", "name", "start_line", "end_line", "content", "docstring", "decorators", "parent_class", "parameters", "return_type")
@@ -44,8 +45,9 @@ def build_chunks(elements: DataFrame, counter: TokenCounter = count_tokens, budg
     rows = pieces.withColumn("owner", F.when(method, F.col("parent_class"))).join(heads, ["repo_path", "path", "owner"], "left").filter(~method | F.col("class_seq").isNotNull())
     prefix = F.when(method, class_context(F.col("parent_class"), F.col("bases"), F.col("class_docstring"))).otherwise("") if context else F.lit("")
     function = F.col("type") == "function"
+    named_by = F.col("segment_start") if line_mode == "compat" else F.col("start_line")
     return rows.select(
-        chunk_id(F.col("repo_path"), F.col("path"), F.col("name"), F.col("type"), F.col("parent_class"), F.col("start_line"), F.col("segment")).alias("chunk_id"),
+        chunk_id(F.col("repo_path"), F.col("path"), F.col("name"), F.col("type"), F.col("parent_class"), named_by, F.col("segment")).alias("chunk_id"),
         "repo_path",
         F.col("path").alias("file_path"),
         "language",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import urllib.request
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,20 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float] | None]: ...
 
 
+@lru_cache(maxsize=200_000)
+def _slots(token: str, width: int) -> tuple[tuple[int, float], ...]:
+    """(dimension, sign) of a token and of each of its parts; only ASCII letters lose their case."""
+    parts = {token.lower() if token.isascii() else token, *(p.lower() for p in _PART.findall(token))}
+    low = [int.from_bytes(hashlib.md5(p.encode()).digest()[:8], "little") for p in parts]  # noqa: S324
+    return tuple((h % width, 1.0 if h // width % 2 else -1.0) for h in low)
+
+
 class HashingEmbedder:
-    """Signed feature hashing of words and word parts, of unit length. A text without tokens fails."""
+    """Signed feature hashing of words and word parts, of unit length. A text without tokens fails.
+
+    A part counts in the dimension that the low half of its MD5 leaves modulo the width, with the sign
+    of the next bit, so that SQL can do the same.
+    """
 
     def __init__(self, width: int = 64):
         self.width, self.embedder_id = width, f"hashing-{width}"
@@ -36,10 +49,8 @@ class HashingEmbedder:
     def _one(self, text: str) -> list[float] | None:
         v = np.zeros(self.width)
         for t in _TOKEN.findall(text or ""):
-            parts = {t.lower(), *(p.lower() for p in _PART.findall(t))}
-            for p in parts:
-                h = xxhash.xxh64_intdigest(p)
-                v[h % self.width] += 1.0 if h >> 63 else -1.0
+            for i, sign in _slots(t, self.width):
+                v[i] += sign
         n = float(np.linalg.norm(v))
         return [float(x) for x in (v / n).astype(np.float32)] if n else None
 

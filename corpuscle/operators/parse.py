@@ -114,7 +114,9 @@ class _Script:
 
     def doc(self, i: int) -> str | None:
         """The ``/** */`` comment that directly precedes token ``i`` (white space aside)."""
-        end = len(self.text[: self.spans[i][0]].rstrip())
+        end = self.spans[i][0]
+        while end and self.text[end - 1].isspace():
+            end -= 1
         c = self.comments.get(end)
         text = self.text[c[0] : c[1]] if c else ""
         return text if text.startswith("/**") else None

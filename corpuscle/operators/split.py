@@ -83,7 +83,7 @@ def split_content(content: str, kind: str, start_line: int, end_line: int, count
         return [("\n".join(lines[a:b]), start_line + a, start_line + b - 1) for a, b in cuts] or [(content, start_line, end_line)]
     body = lines[head:]
     shift = start_line + (head if line_mode == "exact" else 0)
-    return [("\n".join([signature, *body[a:b]]), shift + a, shift + b - 1) for a, b in segments([counter(x) for x in body], budget, overlap, cost)]
+    return [(signature + "\n" + "\n".join(body[a:b]), shift + a, shift + b - 1) for a, b in segments([counter(x) for x in body], budget, overlap, cost)]
 
 
 def split_elements(elements: DataFrame, counter: TokenCounter = count_tokens, budget: int = MAX_TOKENS, overlap: int = OVERLAP_LINES, line_mode: str = "exact") -> DataFrame:

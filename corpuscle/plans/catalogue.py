@@ -1,14 +1,12 @@
 """Named queries over a data directory and the SQL each is checked against.
 
-Every query runs over its whole tables. Queries without SQL (parsing, splitting, scanning, embedding,
-the engine end to end) are covered by golden and property tests instead.
+Every query runs over its whole tables. Those of the pipeline's steps (scanning to the engine) stand in
+:mod:`corpuscle.plans.pipeline`.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
-from pathlib import Path
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,25 +14,11 @@ from pyspark.sql import functions as F
 from corpuscle.functions import lang, text
 from corpuscle.functions.arrow import map_columns
 from corpuscle.operators import chat, chunk, diff, embed, parse, search, split, stats, store
-from corpuscle.session import checkpoint, spread, table
+from corpuscle.plans import oracles
+from corpuscle.plans.registry import ORACLE_SQL, QUERIES, query
+from corpuscle.session import spread, table
 from corpuscle.sources import repo_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function's name, with the SQL that gives the same rows."""
-
-    def register(fn: Callable) -> Callable:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return register
-
-
 _VEC = "CAST({0}.embedding AS DOUBLE[])"
 _FIRST = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)"
 
@@ -59,7 +43,8 @@ def _topk_sql(distance: str, where: str = "") -> str:
 def q01_scoped_topk(spark, sf_dir):
     """Top five by squared distance within a scope."""
     v = _vectors(spark, sf_dir)
-    return _single(search.top_k(v.filter("label = 3"), _first_vector(v), key="vec_id"))
+    own = search.scoped(v.withColumn("repo_path", F.col("label").cast("string")), "3")
+    return _single(search.top_k(own, _first_vector(v), key="vec_id"))
 
 
 @query(_topk_sql(f"list_sum(list_transform(list_zip({_VEC.format('e')}, {_FIRST}), lambda p: (p[1]-p[2])*(p[1]-p[2])))"))
@@ -123,16 +108,24 @@ _EXTENSIONS = ", ".join(f"'{e}'" for e in repo_files.EXTENSIONS)
 )
 def q09_scan_filters(spark, sf_dir):
     """Ignored directories, extensions and size on a listing, in path order."""
-    files = table(spark, sf_dir, "files")
-    parts = F.split("path", "/")
-    kept = files.filter(~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, repo_files.IGNORED_DIRS))) & lang.suffix(F.col("path")).isin(repo_files.EXTENSIONS) & (F.coalesce("size", F.lit(0)) <= repo_files.READER_LIMIT))
-    return kept.select("repo_path", "path").distinct().orderBy("repo_path", "path")
+    ignored, extensions = set(repo_files.IGNORED_DIRS), set(repo_files.EXTENSIONS)
+
+    def run(repos: list, paths: list, sizes: list) -> dict[str, list]:
+        kept = [(r, p) for r, p, n in zip(repos, paths, sizes) if repo_files.wanted_path(p, n, ignored, extensions, repo_files.READER_LIMIT)]
+        return {"repo_path": [r for r, _ in kept], "path": [p for _, p in kept]}
+
+    listed = map_columns(table(spark, sf_dir, "files"), ["repo_path", "path", "size"], run, "repo_path string, path string")
+    return listed.distinct().orderBy("repo_path", "path")
 
 
 @query("SELECT DISTINCT repo_path || '/' || path AS full_path, path AS relative_path FROM files")
 def q10_paths(spark, sf_dir):
-    """S9, T8."""
-    return table(spark, sf_dir, "files").select(F.concat("repo_path", F.lit("/"), "path").alias("full_path"), F.col("path").alias("relative_path")).distinct()
+    """Paths resolved against their repository."""
+
+    def run(repos: list, paths: list) -> dict[str, list]:
+        return {"full_path": [None if r is None or p is None else repo_files.resolve_path(p, r) for r, p in zip(repos, paths)], "relative_path": paths}
+
+    return map_columns(table(spark, sf_dir, "files"), ["repo_path", "path"], run, "full_path string, relative_path string").distinct()
 
 
 @query(
@@ -154,10 +147,13 @@ def q12_size_label(spark, sf_dir):
 _LANG_SQL = "CASE lower(regexp_extract({0}, '[^/]+(\\.[^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lang.LANGUAGES.items()) + " END"
 
 
-@query(f"SELECT {_LANG_SQL.format('path')} AS language, count(*) AS files FROM (SELECT DISTINCT repo_path, path FROM files) GROUP BY 1")
+@query(f"SELECT language, count(*) AS files, CAST(CASE WHEN language IN ('python', 'javascript', 'typescript', 'tsx') THEN count(*) ELSE 0 END AS BIGINT) AS parsed FROM (SELECT {_LANG_SQL.format('path')} AS language FROM (SELECT DISTINCT repo_path, path FROM files)) GROUP BY 1")
 def q13_language(spark, sf_dir):
-    """Files by language."""
-    return lang.with_language(table(spark, sf_dir, "files").select("repo_path", "path").distinct()).groupBy("language").agg(F.count("*").alias("files"))
+    """Files by language, and how many of them a parser takes."""
+    files = table(spark, sf_dir, "files").select("repo_path", "path").distinct()
+    every = lang.with_language(files).groupBy("language").agg(F.count("*").alias("files"))
+    parsed = lang.parsable(files).groupBy("language").agg(F.count("*").alias("parsed"))
+    return every.join(parsed, "language", "left").fillna(0, ["parsed"])
 
 
 @query(
@@ -261,23 +257,25 @@ def q24_flatten(spark, sf_dir):
 
 
 @query(
-    "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(s AS BIGINT) AS start, array_to_string(list_slice(lines, s + 1, s + 10), chr(10)) AS piece FROM l, unnest(generate_series(0, len(lines) - 1, 7)) AS t(s)"
+    f"WITH RECURSIVE k AS MATERIALIZED (SELECT doc_id AS id, string_split(text, chr(10)) AS rows, list_transform(string_split(text, chr(10)), lambda x: {oracles.tokens('x')}) AS costs, 0 AS h, false AS ef FROM documents WHERE text IS NOT NULL), {oracles.folds(64, 2)} SELECT id AS doc_id, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS stop, md5(array_to_string(k.rows[a + 1:b], chr(10))) AS digest FROM f JOIN k USING (id)"
 )
-def q25_line_windows(spark, sf_dir):
-    """K6's shape natively: windows of ten lines, three of them shared."""
-    lines = F.split("text", "\n")
-    windows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", lines.alias("lines"), F.explode(F.sequence(F.lit(0), F.size(lines) - 1, F.lit(7))).alias("s"))
-    return windows.select("doc_id", F.col("s").cast("bigint").alias("start"), F.array_join(F.slice("lines", F.col("s") + 1, F.lit(10)), "\n").alias("piece"))
+def q25_line_segments(spark, sf_dir):
+    """K2, K6: greedy segments of 64 tokens of the documents' lines, two lines shared."""
 
+    def run(ids: list, texts: list) -> dict[str, list]:
+        rows = []
+        for i, t in zip(ids, texts):
+            lines = t.split("\n")
+            rows += [(i, a, b, hashlib.md5("\n".join(lines[a:b]).encode()).hexdigest()) for a, b in split.segments([split.count_tokens(x) for x in lines], 64, 2, 0, False)]
+        return {n: [r[j] for r in rows] for j, n in enumerate(("doc_id", "start", "stop", "digest"))}
 
-@query(
-    "WITH l AS (SELECT doc_id, kind, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, kind, s // 7 AS i, (n - 1) // 7 + 1 AS total FROM l, unnest(generate_series(0, n - 1, 7)) AS t(s)) SELECT doc_id, CASE WHEN total > 1 THEN coalesce(kind, '') || ' (part ' || CAST(i + 1 AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ')' ELSE coalesce(kind, '') END AS name FROM p"
-)
+    return map_columns(spread(table(spark, sf_dir, "documents").filter("text is not null")), ["doc_id", "text"], run, "doc_id bigint, start bigint, stop bigint, digest string")
+
+
+@query(oracles.chunks(64) + " SELECT DISTINCT chunk_id, name FROM made")
 def q26_part_names(spark, sf_dir):
-    """The display names of parts."""
-    n = F.size(F.split("text", "\n"))
-    parts = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.coalesce("kind", F.lit("")).alias("kind"), (F.floor((n - 1) / 7) + 1).cast("int").alias("total"), F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(7))).alias("i", "s"))
-    return parts.select("doc_id", F.when(F.col("total") > 1, F.format_string("%s (part %d/%d)", "kind", F.col("i") + 1, "total")).otherwise(F.col("kind")).alias("name"))
+    """Ids and display names of chunks cut to 64 tokens."""
+    return chunk.dedupe_chunks(chunk.build_chunks(_elements(spark, sf_dir), budget=64)).select("chunk_id", "name")
 
 
 _ELEMENTS = "(SELECT DISTINCT repo_path, path, language, seq, type, name, start_line, end_line, content, docstring, parent_class, parameters FROM elements)"
@@ -287,12 +285,11 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "elements").distinct()
 
 
-@query("SELECT type, count(*) AS n, count(DISTINCT path) AS paths FROM elements WHERE type IN ('class', 'method', 'function') GROUP BY 1")
+@query(oracles.chunks() + " SELECT element_type, count(*) AS n, count(DISTINCT file_path) AS paths FROM made GROUP BY 1")
 def q27_union(spark, sf_dir):
-    """Classes, methods and functions as one list, counted."""
-    e = table(spark, sf_dir, "elements").select("type", "path")
-    parts = [e.filter(F.col("type") == t) for t in ("class", "method", "function")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
+    """Chunks of classes, methods and functions as one list, counted by type."""
+    made = chunk.dedupe_chunks(chunk.build_chunks(_elements(spark, sf_dir)))
+    return made.groupBy("element_type").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("paths"))
 
 
 _PREFIX = "'# In class ' || c.name || chr(10) || 'class ' || c.name || CASE WHEN len(coalesce(c.parameters, [])) > 0 THEN '(' || array_to_string(c.parameters, ', ') || ')' ELSE '' END || ':' || CASE WHEN length(c.docstring) > 0 THEN chr(10) || '    \"\"\"' || c.docstring || '\"\"\"' ELSE '' END || chr(10) || chr(10)"
@@ -373,10 +370,15 @@ def q34_prompts_without_context(spark, sf_dir):
     return items.select("item_id", chat.prompt(F.col("text"), F.lit(None).cast("string")).alias("prompt"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '([A-Za-z0-9_]+|[^\\sA-Za-z0-9_])')) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, CAST({oracles.tokens('text')} AS BIGINT) AS tokens, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^ \\t\\n\\x0b\\f\\rA-Za-z0-9_]')) AS BIGINT) AS native_tokens FROM documents WHERE text IS NOT NULL")
 def q35_token_count(spark, sf_dir):
-    """K2, K3: the default token counter."""
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.token_count(F.col("text")).cast("bigint").alias("tokens"))
+    """K2, K3: the splitter's token counter, and the column that counts in the JVM (with ASCII white space)."""
+
+    def run(ids: list, texts: list, native: list) -> dict[str, list]:
+        return {"doc_id": ids, "tokens": [split.count_tokens(t) for t in texts], "native_tokens": native}
+
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", text.token_count(F.col("text")).cast("bigint").alias("native"))
+    return map_columns(rows, ["doc_id", "text", "native"], run, "doc_id bigint, tokens bigint, native_tokens bigint")
 
 
 @query("SELECT DISTINCT repo_path, path, md5(regexp_replace(content, '\\r\\n?', chr(10), 'g')) AS digest FROM sources WHERE content IS NOT NULL")
@@ -408,11 +410,13 @@ def q39_categories(spark, sf_dir):
     return files.select("repo_path", F.col("file_path").alias("path"), *(F.size(c).cast("bigint").alias(c) for c in ("elements", "imports", "classes", "functions", "methods")))
 
 
-@query("SELECT CAST(count(*) FILTER (WHERE vector IS NULL) AS BIGINT) AS failed, CAST(count(*) FILTER (WHERE vector IS NOT NULL) AS BIGINT) AS embedded, CAST(count(*) FILTER (WHERE last_modified IS NULL) AS BIGINT) AS untimed FROM vector_store")
+@query("SELECT 'embedded' AS gate, count(*) AS n FROM vector_store WHERE vector IS NOT NULL UNION ALL SELECT 'timed', count(*) FROM (SELECT DISTINCT repo_path, file_path FROM vector_store WHERE file_path IS NOT NULL AND last_modified IS NOT NULL) UNION ALL SELECT 'typed', count(*) FROM documents WHERE length(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', '', 'g')) > 0")
 def q40_null_gates(spark, sf_dir):
-    """What the null gates let through."""
+    """What the gates on vectors, times and typed texts let through."""
     v = table(spark, sf_dir, "vector_store")
-    return v.agg(F.count_if(F.col("vector").isNull()).alias("failed"), F.count_if(F.col("vector").isNotNull()).alias("embedded"), F.count_if(F.col("last_modified").isNull()).alias("untimed"))
+    gates = [("embedded", embed.embedded(v)), ("timed", stats.indexed_files(v)), ("typed", table(spark, sf_dir, "documents").filter(text.nonblank(F.col("text"))))]
+    parts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("gate"), "n") for name, rows in gates]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT DISTINCT repo_path, path, array_to_string(list_slice(string_split(content, chr(10)), 1, 10), chr(10)) AS preview FROM sources WHERE content IS NOT NULL")
@@ -421,58 +425,6 @@ def q41_preview(spark, sf_dir):
     return table(spark, sf_dir, "sources").filter("content is not null").select("repo_path", "path", text.preview(F.col("content")).alias("preview")).distinct()
 
 
-@query()
-def q42_parse(spark, sf_dir):
-    """Elements parsed from the sources."""
-    return parse.parse_files(spread(table(spark, sf_dir, "sources").select("repo_path", "path", "content")))
-
-
-@query()
-def q43_split(spark, sf_dir):
-    """K1-K8: elements cut to the token budget."""
-    return split.split_elements(spread(table(spark, sf_dir, "elements")))
-
-
-@query()
-def q44_chunks(spark, sf_dir):
-    """Chunks built from the sources, deduplicated."""
-    elements = checkpoint(parse.parse_files(spread(table(spark, sf_dir, "sources").select("repo_path", "path", "content"))).distinct())
-    return chunk.dedupe_chunks(chunk.build_chunks(elements))
-
-
-@query()
-def q45_repo_scan(spark, sf_dir):
-    """The data source over this package's own tree."""
-    return repo_files.scan(spark, str(Path(__file__).resolve().parents[1]), content=True).drop("repo_path", "last_modified")
-
-
-@query()
-def q46_embed(spark, sf_dir):
-    """Chunks embedded by the offline embedder."""
-    return embed.embed_column(spread(table(spark, sf_dir, "chunks").select("chunk_id", "content")), "chunk_id", "content", embed.HashingEmbedder())
-
-
-@query()
-def q47_decode(spark, sf_dir):
-    """Contents encoded to bytes and decoded again by the ladder."""
-
-    def run(repos: list, paths: list, data: list) -> dict[str, list]:
-        got = [text.decode_bytes(d) for d in data]
-        return {"repo_path": repos, "path": paths, "encoding": [e for _, e in got], "lines": [len(t.splitlines()) for t, _ in got]}
-
-    rows = table(spark, sf_dir, "sources").filter("content is not null").select("repo_path", "path", F.encode("content", "UTF-8").alias("data"))
-    return map_columns(spread(rows), ["repo_path", "path", "data"], run, "repo_path string, path string, encoding string, lines int")
-
-
-@query()
-def q48_engine(spark, sf_dir):
-    """All repositories of the sources indexed into a fresh store in the cluster's shared folder, then searched."""
-    import tempfile
-    import uuid
-
-    from corpuscle.plans.engine import Engine
+from corpuscle.plans import pipeline  # noqa: E402, F401 - registers the queries of the pipeline
 
-    shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
-    engine = Engine(spark, os.path.join(shared, f"engine-{uuid.uuid4().hex}"))
-    engine.index_table(table(spark, sf_dir, "sources"))
-    return engine.search("how are files decoded", 5).select("chunk_id", "name", "distance", "rank")
+__all__ = ["ORACLE_SQL", "QUERIES"]

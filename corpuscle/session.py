@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -27,7 +29,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
@@ -48,15 +52,38 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(cores * per_core)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder all executors share.
+_LOCAL: dict[str, str] = {}
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; one under the temporary
-    folder is set only where that is unset, as in tests on one machine.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs in this one process gets a temporary folder, removed at its
+    end; any other raises, as its executors may not see this machine's disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="corpuscle-")
+        atexit.register(shutil.rmtree, _LOCAL[sc.applicationId], ignore_errors=True)
+    return _LOCAL[sc.applicationId]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder as the workers' file system sees it; the folder must be a mounted one."""
+    folder = shared_folder(spark)
+    if ":/" in folder and not folder.startswith("file:"):
+        raise ValueError(f"{folder} is no mounted folder")
+    return f"{re.sub('^file:/*', '/', folder)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder all executors share."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"corpuscle-{uuid.uuid4().hex}"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -4,8 +4,9 @@ Spark's own file sources drop names that begin with ``_`` or ``.`` and truncate
 so trees are walked here. Options (all strings): ``path`` (one root, or several separated by a line
 break), ``recursive`` (true), ``ignore`` and ``extensions`` (comma-separated; empty means the
 defaults), ``maxFileSize`` (bytes; 0: none), ``content`` (false), ``readerLimit`` (bytes a file may
-have to be read; 0: none), ``rejectBinary`` (false). Each top-level directory is one partition; the
-paths must be visible to the executors.
+have to be read; 0: none), ``rejectBinary`` (false). Directories are listed level by level until there
+are enough of them for one partition each, so a tree with all its code under one directory is walked
+in parallel too; the paths must be visible to the executors.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corpuscle.functions.arrow import map_columns
 from corpuscle.functions.text import decode_bytes, line_count_of
 from corpuscle.session import ship_package
 
@@ -29,9 +31,33 @@ FILES = "repo_path string, path string, name string, extension string, size bigi
 SOURCES = FILES + ", content string, encoding string, line_count bigint, error string"
 
 
-class _Subtree(InputPartition):
-    def __init__(self, root: str, top: str | None):
-        self.root, self.top = root, top
+#: Directories from which a listing is spread: no level below is listed on the driver, and plain files of so many directories share a partition.
+ENOUGH_DIRECTORIES, FLAT_DIRECTORIES = 256, 32
+
+
+class _Part(InputPartition):
+    """Directories of a root: their own files only, or whole subtrees."""
+
+    def __init__(self, root: str, folders: list[str], deep: bool):
+        self.root, self.folders, self.deep = root, folders, deep
+
+
+def extension_of(name: str) -> str:
+    """the suffix of a file name, in lower case; a name that only begins with a dot has none."""
+    return os.path.splitext(name)[1].lower()
+
+
+def wanted_file(name: str, size: int, extensions: set[str], largest: int = 0) -> bool:
+    """whether a file of this name and size is kept; ``largest`` 0 sets no limit."""
+    return extension_of(name) in extensions and not (largest and size > largest)
+
+
+def wanted_path(path: str | None, size: int | None, ignored: set[str], extensions: set[str], largest: int = 0) -> bool:
+    """F1-F3 on a listed path: no ignored directory above the file, a wanted suffix, not too large."""
+    if path is None:
+        return False
+    *folders, name = path.split("/")
+    return not ignored.intersection(folders) and wanted_file(name, size or 0, extensions, largest)
 
 
 class _Reader(DataSourceReader):
@@ -52,22 +78,35 @@ class _Reader(DataSourceReader):
                 raise FileNotFoundError(root)
             if not os.path.isdir(root):
                 raise NotADirectoryError(root)
-            out.append(_Subtree(root, None))
-            if self.recursive:
-                out += [_Subtree(root, d.name) for d in sorted(os.scandir(root), key=lambda d: d.name) if d.is_dir(follow_symlinks=False) and d.name not in self.ignored]
+            flat, level = [], [root]
+            while level and self.recursive and len(level) < ENOUGH_DIRECTORIES:
+                flat += level
+                level = [d for folder in level for d in self._inside(folder)]
+            if not self.recursive:
+                flat, level = [root], []
+            out += [_Part(root, flat[i : i + FLAT_DIRECTORIES], False) for i in range(0, len(flat), FLAT_DIRECTORIES)]
+            out += [_Part(root, [d], True) for d in level]
         return out
 
-    def read(self, partition: _Subtree) -> Iterator[tuple]:
-        root = partition.root
-        if partition.top is None:
-            listing: Iterator[tuple[str, list[str]]] = iter([(root, [d.name for d in os.scandir(root) if d.is_file()])])
-        else:
-            listing = self._walk(os.path.join(root, partition.top))
-        for folder, names in listing:
-            for name in sorted(names):
-                row = self._row(root, folder, name)
-                if row is not None:
-                    yield row
+    def _inside(self, folder: str) -> list[str]:
+        try:
+            return sorted(d.path for d in os.scandir(folder) if d.is_dir(follow_symlinks=False) and d.name not in self.ignored)
+        except OSError:
+            return []
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        for top in partition.folders:
+            for folder, names in self._walk(top) if partition.deep else self._own(top):
+                for name in sorted(names):
+                    row = self._row(partition.root, folder, name)
+                    if row is not None:
+                        yield row
+
+    def _own(self, folder: str) -> Iterator[tuple[str, list[str]]]:
+        try:
+            yield folder, [d.name for d in os.scandir(folder) if not d.is_dir(follow_symlinks=False)]
+        except OSError:
+            return
 
     def _walk(self, top: str) -> Iterator[tuple[str, list[str]]]:
         for folder, dirs, names in os.walk(top):
@@ -75,32 +114,32 @@ class _Reader(DataSourceReader):
             yield folder, names
 
     def _row(self, root: str, folder: str, name: str) -> tuple | None:
-        extension = os.path.splitext(name)[1].lower()
-        if extension not in self.extensions:
+        if extension_of(name) not in self.extensions:
             return None
         full = os.path.join(folder, name)
         try:
             stat = os.stat(full)
         except OSError:
             return None
-        if self.largest and stat.st_size > self.largest:
+        if not os.path.isfile(full) or not wanted_file(name, stat.st_size, self.extensions, self.largest):
             return None
-        row = (root, os.path.relpath(full, root).replace(os.sep, "/"), name, extension, stat.st_size, stat.st_mtime)
-        return row + self._read(full, stat.st_size) if self.content else row
+        row = (root, os.path.relpath(full, root).replace(os.sep, "/"), name, extension_of(name), stat.st_size, stat.st_mtime)
+        return row + read_file(full, self.limit, self.binary) if self.content else row
 
-    def _read(self, full: str, size: int) -> tuple:
-        """(content, encoding, line_count, error); a file that can't be read has null content and its error."""
-        if self.limit and size > self.limit:
-            return (None, None, None, f"larger than {self.limit} bytes")
-        try:
-            with open(full, "rb") as f:
-                data = f.read()
-        except OSError as e:
-            return (None, None, None, str(e))
-        if self.binary and b"\0" in data[:BINARY_SAMPLE]:
-            return (None, None, None, "binary")
-        text, encoding = decode_bytes(data)
-        return (text, encoding, line_count_of(text), None)
+
+def read_file(full: str, limit: int = 0, reject_binary: bool = False, encoding: str | None = None) -> tuple[str | None, str | None, int | None, str | None]:
+    """(content, encoding, line_count, error) of one file; one that can't be read has null content and its error."""
+    try:
+        if limit and os.path.getsize(full) > limit:
+            return (None, None, None, f"larger than {limit} bytes")
+        with open(full, "rb") as f:
+            data = f.read()
+    except OSError as e:
+        return (None, None, None, str(e))
+    if reject_binary and b"\0" in data[:BINARY_SAMPLE]:
+        return (None, None, None, "binary")
+    text, used = decode_bytes(data, encoding)
+    return (text, used, line_count_of(text), None)
 
 
 class RepoFiles(DataSource):
@@ -122,14 +161,15 @@ def normalise_root(path: str) -> str:
     return os.path.abspath(path)
 
 
-def scan(spark: SparkSession, path: str, *, content: bool = False, **options: str) -> DataFrame:
-    """Files of a repository (F1-F4 applied), one row each; sort by ``path`` for the walk's order.
+def scan(spark: SparkSession, path: str | list[str], *, content: bool = False, **options: str) -> DataFrame:
+    """Files of a repository or of several (F1-F4 applied), one row each; sort by ``path`` for the walk's order.
 
     An empty directory gives an empty table; a missing path or a file raises as the listing is planned.
     """
     ship_package(spark)
     spark.dataSource.register(RepoFiles)
-    reader = spark.read.format("repo_files").option("path", normalise_root(path)).option("content", str(content).lower())
+    roots = [path] if isinstance(path, str) else path
+    reader = spark.read.format("repo_files").option("path", "\n".join(map(normalise_root, roots))).option("content", str(content).lower())
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()
@@ -145,3 +185,48 @@ def resolve_path(file_path: str, base_path: str | None = None) -> str:
     if os.path.isabs(file_path):
         return file_path
     return os.path.join(base_path, file_path) if base_path else os.path.abspath(file_path)
+
+
+_READ = "repo_path string, path string, content string, encoding string, line_count bigint, error string"
+
+
+def read_files(files: DataFrame, base_path: str | None = None, encoding: str | None = None, limit: int = READER_LIMIT, reject_binary: bool = True) -> DataFrame:
+    """The files of a table of paths (repo_path, path), read where the rows lie; ``error`` says which failed.
+
+    A relative path is taken from ``base_path`` and its repo_path. With ``encoding`` files are decoded
+    by it first. Rows with a null path have that as their error; repeated rows are read again. Rows of
+    a scan's result serve as well, so metadata can be filtered before anything is read.
+    """
+
+    def run(repos: list, paths: list) -> dict[str, list]:
+        got = [(None, None, None, "no path") if p is None else read_file(resolve_path(p, resolve_path(r.lstrip("/") if base_path else r, base_path) if r else base_path), limit, reject_binary, encoding) for r, p in zip(repos, paths)]
+        columns = dict(zip(("content", "encoding", "line_count", "error"), map(list, zip(*got)))) if got else dict.fromkeys(("content", "encoding", "line_count", "error"), [])
+        return {"repo_path": repos, "path": paths, **columns}
+
+    return map_columns(files, ["repo_path", "path"], run, _READ)
+
+
+def write_tree(sources: DataFrame, folder: str) -> int:
+    """A sink: write (repo_path, path, content, last_modified) as files under a folder that all executors share.
+
+    A null content leaves a link to nowhere, a file that can't be read. Each file must have one row;
+    a task that runs again writes the same. Returns the number of files.
+    """
+
+    def run(repos: list, paths: list, contents: list, times: list) -> dict[str, list]:
+        for repo, path, content, time in zip(repos, paths, contents, times):
+            full = os.path.join(folder, repo.lstrip("/"), path)
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            if content is None:
+                if not os.path.islink(full):
+                    os.symlink("nowhere", full)
+                continue
+            staged = f"{full}.{os.getpid()}~"
+            with open(staged, "w", encoding="utf-8", newline="") as f:
+                f.write(content)
+            os.utime(staged, (time or 0, time or 0))
+            os.replace(staged, full)
+        return {"files": [len(paths)] if paths else []}
+
+    columns = ["repo_path", "path", "content", "last_modified"]
+    return map_columns(sources.dropna(subset=["repo_path", "path"]), columns, run, "files bigint").groupBy().sum("files").first()[0] or 0

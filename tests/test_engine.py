@@ -79,17 +79,6 @@ def test_index_table(spark, tree, tmp_path):
     assert engine.index_table(spark.createDataFrame([rows[2]], schema))["unchanged"] == 1
 
 
-def test_q48_searches_the_sources(spark):
-    from corpuscle.plans.catalogue import QUERIES
-
-    data = "/root/testdata/sf0.001"
-    if not os.path.isdir(data):
-        pytest.skip("no test data")
-    got = {r.name for r in QUERIES["q48_engine"](spark, data).collect()}
-    texts = "".join(r.content or "" for r in spark.read.parquet(f"{data}/sources.parquet").select("content").collect())
-    assert len(got) > 0 and all(n.split(" ")[0] in texts for n in got)
-
-
 def test_streaming_upsert(spark, tmp_path):
     from corpuscle.streaming.index import upsert_stream
 
@@ -110,3 +99,37 @@ def test_windowed_versions(spark, tmp_path):
     stream = latest_versions(spark.readStream.schema("key string, ts timestamp").parquet(source))
     stream.writeStream.format("memory").queryName("versions").outputMode("update").trigger(availableNow=True).start().awaitTermination(60)
     assert {(r.key, r.events) for r in spark.table("versions").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_scan_spreads_below_one_directory(spark, tmp_path):
+    for i in range(40):
+        d = tmp_path / "src" / f"p{i}" / "deep"
+        d.mkdir(parents=True)
+        (d / "a.py").write_text("x = 1\n")
+    (tmp_path / "src" / "top.py").write_text("")
+    got = repo_files.scan(spark, str(tmp_path))
+    assert sorted(r.path for r in got.collect()) == sorted([*(f"src/p{i}/deep/a.py" for i in range(40)), "src/top.py"])
+    assert len(repo_files._Reader({"path": str(tmp_path)}).partitions()) > 2
+
+
+def test_write_and_read_files(spark, tmp_path):
+    rows = [("/r", "a/b.py", "x = 'é'\r\n", 5.0), ("/r", "gone.py", None, None), (None, "lost.py", "x", 1.0)]
+    sources = spark.createDataFrame(rows, "repo_path string, path string, content string, last_modified double")
+    assert repo_files.write_tree(sources, str(tmp_path)) == 2
+    asked = spark.createDataFrame([("/r", "a/b.py"), ("/r", "gone.py"), ("/r", None)], "repo_path string, path string")
+    got = {r.path: r for r in repo_files.read_files(asked, str(tmp_path)).collect()}
+    assert got["a/b.py"].content == "x = 'é'\n" and got["a/b.py"].line_count == 1
+    assert got["gone.py"].content is None and got["gone.py"].error and got[None].error == "no path"
+    raw = repo_files.read_files(asked.limit(1), str(tmp_path), encoding="latin-1").collect()[0]
+    assert raw.content == "x = 'Ã©'\n" and raw.encoding == "latin-1"
+
+
+def test_shared_folder_needs_a_name_on_a_cluster():
+    from types import SimpleNamespace
+
+    from corpuscle.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    context = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))

@@ -69,3 +69,19 @@ def test_enrich(spark):
     got = {r.name: r.content for r in chunk.enrich(plain, elements).collect()}
     assert got["m"] == "# File imports: os, sys\n# Class C docstring: Doc of C.\ndef m(self):\n        return 1"
     assert got["C"].startswith("# File imports: os, sys\nclass C:")
+
+
+def test_ids_of_split_chunks_by_mode(spark):
+    import hashlib
+
+    from corpuscle.operators.chunk import build_chunks
+    from corpuscle.operators.parse import ELEMENTS
+
+    body = "def f(a):\n" + "".join(f"    x{i} = a + {i}\n" for i in range(20))
+    e = spark.createDataFrame([("/r", "a.py", "python", 0, "function", "f", 5, 25, body, None, None, None, None, None)], ELEMENTS)
+    for mode, field in (("exact", lambda r: 5), ("compat", lambda r: r.start_line)):
+        got = build_chunks(e, budget=40, line_mode=mode).collect()
+        assert len(got) > 2
+        for r in got:
+            raw = f"/r:a.py:f:function:{field(r)}:seg{r.meta.split_segment}"
+            assert r.chunk_id == hashlib.md5(raw.encode()).hexdigest()[:12]

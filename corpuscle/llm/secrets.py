@@ -1,9 +1,10 @@
 """Problem 6: credentials in source code and configuration.
 
-Literals near assignment contexts that name a credential are segmented into dictionary words by
-Viterbi; what the dictionary leaves unexplained decides. Values of known hash formats count only under
-a credential's name. Logins in addresses and headers, key blocks and issued key formats are located by
-their form and judged by the same segmentation.
+Literals near assignment contexts are segmented into dictionary words by Viterbi; what the dictionary
+leaves unexplained decides: a few characters where the name or a remark speaks of a credential, nearly
+all of a long literal where it does not. Values of known hash formats count only under a credential's
+name, as issued keys often have that form. Logins in addresses, headers and options, key blocks and
+issued key formats are located by their form and judged by the same segmentation.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ _MARK_LIST = [
     _NAME_WORD, "log[- ]?in", "sign[-_ ]?in", "logon", r"connect\W*\(", "unlock", "opens", "access",
     "-----begin", r"://[^\s/'\"<>:@]*:[^\s/'\"@]+@", r"basic\W", r"-(?:u|-user)[ =]['\"]?[^\s:'\"]+:",
     "gh[pousr]_", "glpat-", "xox[abprs]-", "akia", "asia[a-z0-9]", "sk_(?:live|test)_", "aiza", "npm_", r"sg\.", "eyj",
+    "mysql", "mariadb", r"[=:]\s*[\"'`][a-z0-9][a-z0-9_-]{19,}[\"'`]",
 ]
 _MARKS = re.compile("|".join(_MARK_LIST))
 _KEY = re.compile(_NAME_WORD)
@@ -50,8 +52,16 @@ _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: What may stand in a key block: separators, escaped line breaks, headers, lines of the key.
 _BODY = re.compile(r"(?:\\+[nrt]|[\s\"'`+,;\\*#>|()-]|[A-Z][A-Za-z-]*: [^\n\\\"']*|(?<![A-Za-z0-9+/=])(?<!\\)[A-Za-z0-9+/=]{16,}|(?<=\\[nrt])[A-Za-z0-9+/=]{16,})*(?:=?[A-Za-z0-9+/]+={0,2}(?=\s*(?:[\"'`\n\\]|\Z)))?")
 _OPTION = re.compile(r"(?:^|\s)(?:-u|--user)[ =]['\"]?([\w.-]+):([^\s'\"]+)|(?:^|\s)--?(?:password|passwd|pass|token|api-key|secret)[ =]['\"]?([^\s'\"]+)")
+#: The password option of two database clients, without a space before its value.
+_CLIENT, _JOINED = re.compile(r"\b(?:mysql|mariadb)\w*\s"), re.compile(r"(?<=\s)-p([^\s'\"-][^\s'\"]*)")
+#: A literal of letters, digits and dashes only, and the name before it.
+_LITERAL = re.compile(r"[=:]\s*[\"'`]([A-Za-z0-9][A-Za-z0-9_-]{19,})[\"'`]")
+_NAMED = re.compile(r"([\w$.-]+)['\"\])]*\s*+(?::\s*+[\w.<>]+\s*+)?:?$")
+#: Lengths of hexadecimal hashes; names of values that look random and open nothing.
+_HASH = re.compile(r"(?i)(?:sha\d+-|md5-)?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
+_OPENS_NOTHING = re.compile(r"(?i)(?:hash|sha\d*|md5|sum|digest|etag|commit|revision|trace|span|build|integrity|fingerprint|nonce|uuid|guid|id|version|cursor|cache|salt|image|icon|pixel|data|blob)s?_?\d*$")
 #: Wording of placeholders.
-_PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|\$\(|%\(|%[A-Z_]+%|^\$|^<.*>$|<[a-z _-]+>|^\{.*\}$|^%s$|\*{3,}|^x{3,}|x{6,}|\.\.\.|your|change|replace|example|dummy|placeholder|insert|redacted|hidden|masked|sample|todo|fixme|none|null|undefined|not[-_ ]?set|secret[-_]?here|key[-_ ]here|^(?:true|false|yes|no|on|off)$|^(?:vault|env|ssm|secretsmanager|arn|file|op|keyring|ref|sops|kms)[:/]|^[./~]|process\.env|os\.environ|getenv|^enc\(|^https?://")
+_PLACEHOLDER = re.compile(r"(?i)\$\{|\{\{|\$\(|%\(|%[A-Z_]+%|^\$|^<.*>$|<[a-z _-]+>|^\{.*\}$|^%s$|\*{3,}|^x{3,}|x{6,}|\.\.\.|your|change|replace|example|dummy|placeholder|insert|redacted|hidden|masked|sample|todo|fixme|none|null|undefined|not[-_ ]?set|secret[-_]?here|key[-_ ]here|^(?:true|false|yes|no|on|off)$|^(?:vault|env|ssm|secretsmanager|arn|file|op|keyring|ref|sops|kms)[:/]|process\.env|os\.environ|getenv|^enc\(|^https?://")
 _CODE_SUFFIX = re.compile(r"(?i)\.(?:py|jsx?|tsx?|go|java|c|cc|cpp|h|rs|rb|php)$")
 _STR = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'"
 _C_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
@@ -76,7 +86,8 @@ _TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{|\Z)")
 _COMMENT = re.compile(r"^\s*(?:#|//|\*|/\*|--|;)")
 #: A literal whose remark says that it opens something.
 _REMARK = re.compile(r"""(?i)^\s*(?:(?:const|let|var|final|String|export|private|static)\s+)*([\w.$-]+)\s*(?::\s*\w+\s*)?(?::=|=|:)\s*["']([^"'\s]+)["'][;,]?\s*(?:\#|//).*\b(?:log[- ]?in|unlocks?|opens|sign[- ]?in|credentials?|password|pass ?code|access)\b""")
-_CONTINUES = re.compile(r"['\"]?\s*(?::\s*\w+\s*)?(?::=|=>|=|:)?\s*(?:[\w.]+\()?\s*[(\[{]?\s*(?:[>|][-+]?|\\)?\s*$")
+#: What may stand behind a name whose value follows on a later line, in program files after its type too.
+_CONTINUES = [re.compile(r"['\"]?\s*+" + kind + r"(?::=|=>|=|:)?\s*+(?:[\w.]+\()?\s*+[(\[{]?\s*+(?:[>|][-+]?|\\)?\s*+$") for kind in ("", r"(?::\s*+\w++\s*+)?")]
 
 
 class Segmenter:
@@ -158,18 +169,28 @@ def credential_name(name: str) -> bool:
     return parts[-1] in _SECRET_PARTS or joined.endswith(("apikey", "password", "passwd", "secret", "token", "pwd", "pass"))
 
 
-def looks_usable(value: str, strong: bool) -> bool:
-    """Whether a value reads as a credential: not a placeholder, reference or prose, and with enough unexplained."""
+def stands_alone(name: str, value: str) -> bool:
+    """Whether a literal is a credential whatever its name: long, of mixed signs, nearly all of it unexplained, no hash."""
+    if _HASH.fullmatch(value) or _OPENS_NOTHING.search(name) or _PLACEHOLDER.search(value):
+        return False
+    mixed = re.search(r"\d", value) and re.search(r"[A-Z]", value) and re.search(r"[a-z]", value)
+    return bool(mixed) and segmenter().residual(value) >= 0.75 * len(value)
+
+
+def looks_usable(value: str) -> bool:
+    """Whether a value given as a credential reads as one: not a placeholder, reference or prose, and with enough unexplained."""
     v = value.strip()
-    if len(v) < (6 if strong else 8) or _PLACEHOLDER.search(v):
+    if len(v) < 6 or _PLACEHOLDER.search(v):
         return False
     if " " in v and not re.search(r"(?i)^(?:bearer|basic|token) \S+$", v):
         return False
     if len(set(v)) < 4 or re.fullmatch(r"[\d.,:-]+", v) and len(v) < 8:
         return False
+    if v[0] in "./~" and segmenter().residual(v) < 0.5 * len(v):  # a path, unlike Base64 that begins so, is of words
+        return False
     left = segmenter().residual(v, 8)
-    mixed = bool(re.search(r"\d", v)) + bool(re.search(r"[^\w]", v)) + bool(re.search(r"[A-Z]", v) and re.search(r"[a-z]", v))
-    return left >= 4 and left >= 0.34 * len(v) or left >= 8 or strong and mixed >= 2 and left >= 3
+    mixed = bool(re.search(r"\d", v)) + bool(re.search(r"[^A-Za-z0-9]", v)) + bool(re.search(r"[A-Z]", v) and re.search(r"[a-z]", v))
+    return left >= 4 and left >= 0.34 * len(v) or left >= 8 or mixed >= 2 and left >= 3 or mixed == 3 and left >= 2
 
 
 class _Values:
@@ -187,7 +208,7 @@ class _Values:
     def after(self, at: int, code: bool) -> tuple[list[tuple[int, int]], bool]:
         """(spans of values given to the name that ends at ``at``, whether the value must stand on a later line)."""
         line = self.line
-        c = _CONTINUES.match(line, at)
+        c = _CONTINUES[code].match(line, at)
         if c and re.search(r"[:=(>|\\]", c[0]):
             return [], True
         m = self._GIVEN.match(line, at)
@@ -319,25 +340,34 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
         comment = bool(_COMMENT.match(line))
         bare = not code or comment or inside(offsets[i])
         for m in _URL_LOGIN.finditer(line):
-            if looks_usable(m[2], True) or len(m[2]) >= 4 and not _PLACEHOLDER.search(m[2]) and segmenter().residual(m[2]) >= 3:
+            if looks_usable(m[2]) or len(m[2]) >= 4 and not _PLACEHOLDER.search(m[2]) and segmenter().residual(m[2]) >= 3:
                 add(i, *m.span(2), "url_login")
         for m in _ISSUED.finditer(line):
             if not re.search(r"(?i)x{5,}|example|0{8,}", m[1]):
                 add(i, *m.span(1), "issued_key")
         for m in _HEADER.finditer(line):
-            if looks_usable(m[1], True) and re.search(r"(?i)authori[sz]ation|header|curl|bearer|basic", line) and (quoted or bare or path is None or inside(offsets[i] + m.start(1))):
+            if looks_usable(m[1]) and re.search(r"(?i)authori[sz]ation|header|curl|bearer|basic", line) and (quoted or bare or path is None or inside(offsets[i] + m.start(1))):
                 add(i, *m.span(1), "header")
         for m in _OPTION.finditer(line):
             g = 2 if m[2] else 3
-            if m[g] and looks_usable(m[g], True) and (bare or path is None or inside(offsets[i] + m.start(g))):
+            if m[g] and looks_usable(m[g]) and (bare or path is None or inside(offsets[i] + m.start(g))):
                 add(i, *m.span(g), "option")
         for m in re.finditer(r"(?i)\b(?:login|connect|auth(?:enticate)?|sign_?in|logon|basic_?auth)\s*\(\s*(['\"])[^'\"]*\1\s*,\s*(['\"])([^'\"]+)\2\s*[,)]", line):
-            if looks_usable(m[3], True):
+            if looks_usable(m[3]):
                 add(i, *m.span(3), "call")
         remark = _REMARK.match(line)
-        if remark and looks_usable(remark[2], True) and segmenter().residual(remark[2]) >= 6:
+        if remark and looks_usable(remark[2]) and not _HASH.fullmatch(remark[2]):
             add(i, *remark.span(2), "remark")
-        done, values = -1, _Values(line)
+        for m in _LITERAL.finditer(line):
+            named = _NAMED.search(line[max(0, m.start() - 200) : m.start()])
+            if stands_alone(named[1] if named else "", m[1]):
+                add(i, *m.span(1), "literal")
+        client = _CLIENT.search(small)
+        if client:
+            for m in _JOINED.finditer(line, client.end() - 1):
+                if looks_usable(m[1]) and (bare or path is None or inside(offsets[i] + m.start(1))):
+                    add(i, *m.span(1), "option")
+        done, values, beyond = -1, _Values(line), None
         for k in _KEY.finditer(small):
             if k.start() < done:
                 continue
@@ -352,24 +382,25 @@ def find_secrets(content: str, path: str | None = None) -> list[Secret]:
             spans, later = values.after(end, not bare)
             for s, e in spans:
                 v = line[s:e]
-                if looks_usable(v, True) and not _url(v):
+                if looks_usable(v) and not _url(v):
                     h = _HEADER.match(v)
                     add(i, *((s + h.start(1), s + h.end(1)) if h else (s, e)), "assignment")
             if later:
-                for j in range(i + 1, min(i + 3, n)):
+                j = i + 1 if beyond is None else beyond
+                while j < n and (not lines[j].strip() or _COMMENT.match(lines[j]) and code):
+                    j += 1
+                beyond = j
+                if j < n:
                     nxt = lines[j]
-                    if not nxt.strip() or _COMMENT.match(nxt) and code:
-                        continue
                     q = re.match(r"\s*(?:[\w.]+\(\s*)?[(\[]?\s*[rbuf]?(?:\"([^\"\n]*)\"|'([^'\n]*)'|`([^`\n]*)`)", nxt)
                     if q:
                         g = next(g for g in (1, 2, 3) if q[g] is not None)
-                        if looks_usable(q[g], True) and not re.match(r"\s*[:=]", nxt[q.end() :]):
+                        if looks_usable(q[g]) and not re.match(r"\s*[:=]", nxt[q.end() :]):
                             add(j, *q.span(g), "assignment")
                     elif not code or bare and not comment:
                         q = re.match(r"\s+([^\s#'\"][^\s'\"]*)\s*$", nxt)
-                        if q and not q[1].endswith(":") and looks_usable(q[1], True):
+                        if q and not q[1].endswith(":") and looks_usable(q[1]):
                             add(j, *q.span(1), "assignment")
-                    break
     got = sorted(out.values(), key=lambda s: s.start)
     kept: list[Secret] = []
     for k, s in enumerate(got):

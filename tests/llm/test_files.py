@@ -39,7 +39,7 @@ DATA = "export const T = [\n" + "".join("  " + ", ".join(str(random.Random(i).ra
     ],
 )
 def test_kind(path, text, want):
-    assert handwritten.judge(path, text)[0] == want
+    assert handwritten.judge(path, text).kind == want
 
 
 VARIED = "".join(f"export function {a}{b}(x) {{\n  const {b} = {a}(x, {b!r});\n  return {b}.{a} + x.{b};\n}}\n" for a, b in (("abcdefgh"[i % 8] * (i + 1), "pqrstuvw"[i % 7] * (i + 2)) for i in range(20)))
@@ -51,13 +51,13 @@ VARIED = "".join(f"export function {a}{b}(x) {{\n  const {b} = {a}(x, {b!r});\n
 )
 def test_a_generators_mark_counts_at_any_length(mark):
     assert handwritten.layout(VARIED, "js").lines >= 60 and handwritten.layout(VARIED, "js").shapes >= 0.5
-    assert handwritten.judge("src/a.js", VARIED)[0] is None
-    assert handwritten.judge("src/a.js", mark + VARIED)[0] == handwritten.judge("src/a.js", mark + WRITTEN)[0] == "generated"
+    assert handwritten.judge("src/a.js", VARIED).kind is None
+    assert handwritten.judge("src/a.js", mark + VARIED).kind == handwritten.judge("src/a.js", mark + WRITTEN).kind == "generated"
 
 
 @pytest.mark.parametrize("remark", ["// Skips files that say 'Code generated by x. DO NOT EDIT.'\n", "// Code generated by weftc lives in gen/ and is wrapped here.\n", "// Do not change the order of these imports.\n", "// Auto-generated files are left alone.\n", "// @generated markers stand in the first line.\n"])
 def test_a_remark_about_marks_is_none(remark):
-    assert handwritten.judge("src/a.js", remark + VARIED)[0] is handwritten.judge("src/a.js", remark + WRITTEN)[0] is None
+    assert handwritten.judge("src/a.js", remark + VARIED).kind is handwritten.judge("src/a.js", remark + WRITTEN).kind is None
 
 
 BLOB = "Ab3+" * 50_000
@@ -77,25 +77,40 @@ BLOB = "Ab3+" * 50_000
     ],
 )
 def test_few_giant_literals_are_data(path, text, want):
-    assert handwritten.judge(path, text)[0] == want
+    assert handwritten.judge(path, text).kind == want
 
 
 @pytest.mark.parametrize(("start", "line", "end"), [("/*\n", " * words of a licence\n", " */\n"), ("", "// words of a licence\n", "")])
 def test_long_heads_are_read_whole(start, line, end):
     head = start + line * 1000
-    assert handwritten.judge("src/a.js", head + end + WRITTEN)[:2] == (None, False)
-    assert handwritten.judge("src/a.js", head + line.replace("words of a licence", "lib v1.2.3 | (c) the lib contributors | MIT") + end + WRITTEN)[:2] == ("vendored", True)
-    assert handwritten.judge("src/a.js", head + line.replace("words of a licence", "Code generated by weftc. DO NOT EDIT.") + end + VARIED)[0] == "generated"
-    assert handwritten.judge("a.json", "\n" * 3000 + '{"lockfileVersion": 2, "packages": {}}')[0] == "generated"
+    assert handwritten.judge("src/a.js", head + end + WRITTEN).kind is None
+    assert handwritten.judge("src/a.js", head + line.replace("words of a licence", "lib v1.2.3 | (c) the lib contributors | MIT") + end + WRITTEN).signal == "notice"
+    assert handwritten.judge("src/a.js", head + line.replace("words of a licence", "Code generated by weftc. DO NOT EDIT.") + end + VARIED).kind == "generated"
+    assert handwritten.judge("a.json", "\n" * 3000 + '{"lockfileVersion": 2, "packages": {}}').kind == "generated"
 
 
 def test_copies_are_known_by_their_body(spark):
-    rows = [("r", "vendor/x/a.js", WRITTEN), ("s", "src/mine.js", "// moved here\n" + WRITTEN), ("s", "src/other.js", WRITTEN.replace("load", "save")), ("s", "src/other.js", None), ("s", None, WRITTEN), ("s", "e.js", ""), ("r", "vendor/x/a.js", WRITTEN)]
+    rows = [("r", "vendor/x/a.js", WRITTEN), ("s", "src/mine.js", "// moved here\n" + WRITTEN), ("s", "src/other.js", WRITTEN.replace("load", "save")), ("s", "src/other.js", None), ("s", None, WRITTEN), ("s", "e.js", ""), ("r", "vendor/x/a.js", WRITTEN), ("s", "lib/flat.js", WRITTEN.replace("  ", "\t\t").replace(" {\n", "\n{\n"))]
     df = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], SOURCES)
-    assert {(r.path, r.kind) for r in handwritten.file_kinds(df).collect()} == {("vendor/x/a.js", "vendored"), ("src/mine.js", "vendored")}
+    assert {(r.path, r.kind, r.signal) for r in handwritten.file_kinds(df).collect()} == {("vendor/x/a.js", "vendored", "place"), ("src/mine.js", "vendored", "body"), ("lib/flat.js", "vendored", "body")}
     assert handwritten.file_kinds(df.limit(0)).count() == 0
 
 
+def test_short_and_python_texts_are_compared_too():
+    assert handwritten.judge("a.js", "!function(){var a=1;b(a);c(a);d()}();").kind == "minified"
+    assert handwritten.judge("a.py", ";".join(f"a{'xyzuvw'[i % 6] * (i % 17 + 1)}={i}" for i in range(400)) + "\n").kind == "minified"
+    assert handwritten.judge("a.js", "if (a > 1) { b(); c(); } else { d(); }\n").kind is None
+
+
+def test_canonical_lines():
+    assert handwritten.emit("function f(a) { if (a) {\n\n return h(a);} }", False) == ["function f(a) {", " if (a) {", "  return h(a);", " }", "}"]
+    assert handwritten.emit("x = f(1,\n  2); y = [\n1]\n", True) == ["x = f(1, 2)", "y = [ 1]"]
+    for i in range(20):
+        text = "".join(random.Random(i).choice("a;{}()[]\n ") for _ in range(200))
+        for python in (False, True):  # nothing but layout is lost
+            assert "".join("".join(handwritten.emit(text, python)).split()).replace(";", "") == "".join(text.split()).replace(";", "")
+
+
 PY = '''import os
 
 def plain(a):

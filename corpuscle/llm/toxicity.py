@@ -5,21 +5,27 @@ risk: confirmed toxic examples against unlabelled text, with the class prior tak
 unlabelled part and the negative risk kept from falling below zero. Which remark of a document that
 reviewers call toxic is the toxic one is settled in rounds: the remark that stands out is confirmed,
 the model is trained, and the confirmation is repeated with it. Masked spellings are folded first.
+Models are trained in tasks: one on the whole sample, two on halves of the reviewed documents, whose
+scores of the other half choose the threshold.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from corpuscle.functions.arrow import map_columns
-from corpuscle.session import spread
+from corpuscle.session import checkpoint, ship_package, spread
 
 #: Bounds of the training sample, and the model's hashed width.
 LABELLED, UNLABELLED, REMARKS, WIDTH = 20_000, 8_000, 30_000, 1 << 18
@@ -265,7 +271,10 @@ class ToxicModel:
 
 
 def fit(labelled: list[tuple[str | None, int]], unlabelled: list[str | None]) -> ToxicModel:
-    """Train on documents with reviewers' opinions and on unlabelled documents; both bounded by the caller."""
+    """Train on documents with reviewers' opinions and on unlabelled documents; both bounded by the caller.
+
+    The result does not depend on their order. Its threshold is that for few labels; see :func:`threshold`.
+    """
     docs = [(pieces(t), y) for t, y in sorted(set((t or "", int(y)) for t, y in labelled))]
     others = [pieces(t) for t in sorted(set(t or "" for t in unlabelled))]
     seeds, clean = [words(s) for s in SEED_TOXIC], [words(s) for s in SEED_CLEAN]
@@ -331,28 +340,71 @@ def fit(labelled: list[tuple[str | None, int]], unlabelled: list[str | None]) ->
                 s = model.score_words([x]) - model.bias
                 if s > 1.0:
                     lexicon[x] = s
-    model = ToxicModel(w, b, FEW_LABELS_THRESHOLD, lexicon)
-    scores = np.array([max((_sigmoid(np.array(model.score_words(ws))) for ws in d), default=0.0) for d, _ in docs])
-    truth = np.array([y for _, y in docs])
-    if truth.sum() >= 10:
-        grid = np.linspace(0.1, 0.9, 81)
-        f = np.array([2 * ((scores >= t) & (truth == 1)).sum() / max((scores >= t).sum() + truth.sum(), 1) for t in grid])
-        model.threshold = float(np.quantile(grid[f >= f.max() - 0.004], 0.15))  # opinions are few and partly wrong: the near-best range counts
-    return model
+    return ToxicModel(w, b, FEW_LABELS_THRESHOLD, lexicon)
+
+
+def threshold(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The score from which documents count as toxic, by scores of documents held out from training.
+
+    The low end of the near-best range of F1, as opinions are few and partly wrong; a fixed value where
+    fewer than ten are toxic.
+    """
+    if truth.sum() < 10:
+        return FEW_LABELS_THRESHOLD
+    grid = np.linspace(0.1, 0.9, 81)
+    f = np.array([2 * ((scores >= t) & (truth == 1)).sum() / max((scores >= t).sum() + truth.sum(), 1) for t in grid])
+    return float(np.quantile(grid[f >= f.max() - 0.004], 0.15))
 
 
 _SCHEMA = "doc_id bigint, source string, score double, toxic boolean, remark string"
-_MODELS: dict[int, ToxicModel] = {}
+_FITTED: dict[tuple, ToxicModel] = {}
+_TRAINED = "part int, model binary, truth array<int>, scores array<double>"
+
+
+def _sample(documents: DataFrame, labels: DataFrame, labelled: int, unlabelled: int) -> DataFrame:
+    """(text, toxic, fold) of the reviewed documents and of others, those of least hash; ``toxic`` is null for others.
+
+    The draw depends on the rows alone, not on their order or partitions.
+    """
+    opinions = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    known = documents.select("doc_id", "text").join(opinions, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(labelled)
+    others = documents.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", F.xxhash64("text")).limit(unlabelled)
+    fold = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int") + 1  # equal texts share a fold
+    return known.select("text", "toxic", fold.alias("fold")).unionByName(others.select("text", F.lit(None).cast("int").alias("toxic"), F.lit(0).alias("fold")))
 
 
 def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> ToxicModel:
-    """Fit on at most ``labelled`` reviewed documents and ``unlabelled`` others, both drawn by hash."""
-    joined = documents.select("doc_id", "text").join(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")), "doc_id")
-    known = joined.orderBy(F.xxhash64("doc_id")).limit(labelled).select("text", "toxic").collect()
-    n = max(documents.count(), 1)
-    share = min(1.0, 1.2 * unlabelled / n)
-    others = documents.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").limit(unlabelled).collect()
-    return fit([(r[0], r[1]) for r in known], [r[0] for r in others])
+    """Fit on at most ``labelled`` reviewed documents and ``unlabelled`` others, both drawn by hash.
+
+    Texts stay in the tasks that train; the driver gets three models of a megabyte and the held-out
+    scores. A sample met before in this process is not fitted again.
+    """
+    sample = checkpoint(_sample(documents, labels, labelled, unlabelled))
+    mark = tuple(sample.agg(F.count("*"), F.sum(F.xxhash64("text", "toxic").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("text", "toxic", F.lit(1)))).first())
+    if mark in _FITTED:
+        return _FITTED[mark]
+    ship_package(documents.sparkSession)
+    kind = to_arrow_schema(_parse_datatype_string(_TRAINED))
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        rows = list(zip(table.column("text").to_pylist(), table.column("toxic").to_pylist(), table.column("fold").to_pylist()))
+        model = fit([(t, y) for t, y, f in rows if y is not None and (not part or f != part)], [t for t, y, _ in rows if y is None])
+        held = sorted({(t or "", y) for t, y, f in rows if y is not None and part and f == part})
+        out = {"part": part, "model": None if part else pickle.dumps((model.w, model.bias, model.lexicon)), "truth": [y for _, y in held], "scores": [model.score(t)[0] for t, _ in held]}
+        return pa.Table.from_pylist([out], schema=kind)
+
+    parts = sample.withColumn("part", F.explode(F.array(*map(F.lit, range(3))))).groupBy("part").applyInArrow(run, _TRAINED).collect()
+    w, bias, lexicon = next(pickle.loads(r.model) for r in parts if r.model) if any(r.model for r in parts) else _pickled(fit([], []))
+    by_part = sorted(parts, key=lambda r: r.part)
+    scores = np.array([x for r in by_part for x in r.scores])
+    truth = np.array([y for r in by_part for y in r.truth])
+    _FITTED[mark] = ToxicModel(w, bias, threshold(scores, truth), lexicon)
+    return _FITTED[mark]
+
+
+def _pickled(m: ToxicModel) -> tuple:
+    return m.w, m.bias, m.lexicon
 
 
 def scored_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:

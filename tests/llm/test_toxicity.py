@@ -57,3 +57,23 @@ def test_table(spark):
     rates = {r.source: r.documents for r in T.toxic_rates(docs, labels).collect()}
     assert sum(rates.values()) == len(rows)
     assert T.scored_documents(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    rows = [(i, document(i % 9 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 9 == 0), "r") for i in range(0, 400, 2)], "doc_id bigint, toxic int, rater string")
+    models = []
+    for n, order in ((1, rows), (7, rows[::-1])):
+        T._FITTED.clear()
+        docs = spark.createDataFrame(order, "doc_id bigint, text string").repartition(n)
+        models.append(T.train(docs, labels))
+    a, b = models
+    assert a.threshold == b.threshold and a.bias == b.bias and (a.w == b.w).all() and a.lexicon == b.lexicon
+    assert T.train(docs, labels) is b
+
+
+def test_threshold():
+    import numpy as np
+
+    assert T.threshold(np.array([0.9] * 20 + [0.1] * 80), np.array([1] * 20 + [0] * 80)) < 0.9
+    assert T.threshold(np.array([0.9]), np.array([1])) == T.FEW_LABELS_THRESHOLD

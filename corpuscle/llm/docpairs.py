@@ -1,7 +1,8 @@
 """Problem 5: functions paired with their documentation.
 
 Candidate comments are matched to functions by parameter tags, names and distance with an optimal
-bipartite assignment; implausible links and uninformative descriptions are rejected.
+bipartite assignment; implausible links and uninformative descriptions are rejected. Documentation is
+by definition what ends directly above, so of the links only those count.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from corpuscle.functions import lexing as L
 from corpuscle.functions.arrow import map_columns
 from corpuscle.functions.lexing import partners
 from corpuscle.llm.grammars import check_tokens, syntax_of
+from corpuscle.llm.peg import allow_nesting
 from corpuscle.session import spread
 
 _K = L.JS_KINDS
@@ -74,11 +76,9 @@ def python_functions(text: str) -> list[Function] | None:
 
 def script_functions(text: str, jsx: bool) -> tuple[list[Function], L.Tokens] | None:
     """The same of JavaScript or TypeScript, with arrow constants; None if the text does not parse."""
-    try:
-        toks = L.lex_js(text, jsx, holes=True)
-        if not check_tokens(text, "javascript" if jsx else "typescript", toks).valid:
-            return None
-    except RecursionError:
+    allow_nesting(len(text))
+    toks = L.lex_js(text, jsx, holes=True)
+    if not check_tokens(text, "javascript" if jsx else "typescript", toks).valid:
         return None
     k, spans = toks.kinds, toks.spans
     m = toks.mate or partners(k)[0]
@@ -244,8 +244,9 @@ def assign(functions: list[Function], found: list[Comment]) -> dict[int, Comment
     """The assignment of comments to functions of the highest total weight (function number -> comment).
 
     Candidates are comments that end at most three lines above a function. The weight rewards
-    nearness, tags that name its parameters, and mention of its name. Candidates form short chains,
-    each solved exactly by a search over its alternatives.
+    nearness, tags that name its parameters, and mention of its name. Functions are taken in order of
+    lines; as candidates lie within three lines, what earlier ones took of the comments that a function
+    can still reach is all that matters, so the best of each such state is kept and nothing is cut.
     """
     edges: dict[int, list[tuple[float, int]]] = {}
     by_last: dict[int, list[int]] = {}
@@ -258,29 +259,24 @@ def assign(functions: list[Function], found: list[Comment]) -> dict[int, Comment
                 fit = len(tags & set(f.parameters)) - len(tags - set(f.parameters))
                 named = bool(re.search(rf"\b{re.escape(f.name)}\b", found[j].text))
                 edges.setdefault(i, []).append((10.0 / gap + fit + named, j))
+    order = sorted(edges, key=lambda i: (functions[i].line, i))
+    states: dict[frozenset[int], tuple[float, tuple | None]] = {frozenset(): (0.0, None)}
+    for n, i in enumerate(order):
+        reach = functions[order[n + 1]].line - 3 if n + 1 < len(order) else None
+        after: dict[frozenset[int], tuple[float, tuple | None]] = {}
+        for taken, (total, links) in states.items():
+            options = [(total, links, taken)]
+            options += [(total + w, (i, j, links), taken | {j}) for w, j in edges[i] if w > 0 and j not in taken]
+            for weight, chosen, now in options:
+                left = frozenset(j for j in now if reach is not None and found[j].last >= reach)
+                if left not in after or weight > after[left][0]:
+                    after[left] = (weight, chosen)
+        states = after
+    links = max(states.values(), key=lambda x: x[0])[1]
     out: dict[int, Comment] = {}
-    order = sorted(edges)
-    at = 0
-    while at < len(order):
-        chain, used = [order[at]], {j for _, j in edges[order[at]]}
-        at += 1
-        while at < len(order) and len(chain) < 8 and used & {j for _, j in edges[order[at]]}:
-            chain.append(order[at])
-            used |= {j for _, j in edges[order[at]]}
-            at += 1
-        best: tuple[float, dict[int, int]] = (-1.0, {})
-        stack: list[tuple[int, float, dict[int, int]]] = [(0, 0.0, {})]
-        while stack:
-            n, total, chosen = stack.pop()
-            if n == len(chain):
-                if total > best[0]:
-                    best = (total, chosen)
-                continue
-            stack.append((n + 1, total, chosen))
-            for w, j in edges[chain[n]]:
-                if w > 0 and j not in chosen.values():
-                    stack.append((n + 1, total + w, {**chosen, chain[n]: j}))
-        out.update((i, found[j]) for i, j in best[1].items())
+    while links:
+        i, j, links = links
+        out[i] = found[j]
     return out
 
 

@@ -14,7 +14,7 @@ from functools import cache
 
 from corpuscle.functions import lexing as L
 from corpuscle.functions.lexing import END, partners
-from corpuscle.llm.peg import Grammar
+from corpuscle.llm.peg import Grammar, allow_nesting
 
 _ECMA = """
 Program <- Stmt* END
@@ -423,10 +423,8 @@ def check(text: str, language: str, jsx: bool = True) -> Verdict:
             return Verdict(False, min(at, len(text)), _cause(text, min(at, len(text)), "never closed" in str(e) or "unterminated" in str(e)))
         except (ValueError, RecursionError, MemoryError):
             return Verdict(False, 0, "syntax")
-    try:
-        return check_tokens(text, language, tokens(text, language, jsx))
-    except RecursionError:
-        return Verdict(False, 0, "nesting")
+    allow_nesting(len(text))
+    return check_tokens(text, language, tokens(text, language, jsx))
 
 
 def syntax_of(path: str | None) -> str | None:

@@ -125,14 +125,17 @@ class ChainModel:
     def judge(self, text: str) -> tuple[tuple[tuple[str, str], ...] | None, str | None]:
         """(chain, restored text) of a record, (None, None) if it reads as it should.
 
-        The likeliest chains by the classifier are inverted in turn; of those strictly decodable the one
-        whose result is the better text is taken, and only if it is better than the text as it stands.
+        Chains are inverted from the likeliest by the classifier on: all that it prefers to clean text, and
+        those of multi-byte encodings, whose strict decoding is evidence of its own. Of those strictly
+        decodable the one whose result is the better text is taken, if it is better than the text as it stands.
         """
         s, here = self.scores(text)
         best, found = 0.0, (None, None)
         order = np.argsort(-s, kind="stable")
-        for k in [*order[:14], *(j for j in order[14:] if self.chains[j] and self.chains[j][-1][0] == "utf-8")]:
+        for k in order:
             chain = self.chains[k]
+            if chain and chain[-1][0] != "utf-8" and s[k] <= s[0]:  # nothing but a multi-byte result outweighs this
+                continue
             back = chain and invert(text, chain)
             if not back or not plausible(back):
                 continue

@@ -85,6 +85,12 @@ def _read(text: str) -> dict[str, tuple[bool, tuple]]:
     return rules
 
 
+def allow_nesting(n: int) -> None:
+    """Let Python functions call each other as deep as ``n`` tokens or characters can nest; such calls take no C stack."""
+    if sys.getrecursionlimit() < 60_000 + 64 * n:
+        sys.setrecursionlimit(60_000 + 64 * n)
+
+
 class Grammar:
     """A compiled grammar; ``parse`` says whether a token sequence is a sentence of it."""
 
@@ -251,8 +257,7 @@ class Grammar:
 
     def parse(self, kinds: str, breaks: str, partner: list[int]) -> int:
         """-1 if the whole sequence is a sentence, else the number of the token furthest reached."""
-        if sys.getrecursionlimit() < 60_000:
-            sys.setrecursionlimit(60_000)
+        allow_nesting(len(kinds))
         if len(self.memo) > _MEMO_ENTRIES:
             self.memo.clear()
         if self.fast(kinds, breaks, partner, None, self.memo, {})(0) >= 0:

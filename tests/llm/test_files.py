@@ -379,3 +379,32 @@ def test_secrets_found_and_filter_passes_them(text, path, lines):
         assert re.search(secrets._HOT, text)
         again = secrets.redact(text, found)
         assert "REDACTED" in again and again.count("\n") == text.count("\n")
+
+
+def test_assignment_is_optimal():
+    from itertools import product
+
+    rng = random.Random(4)
+    for _ in range(150):
+        lines = sorted(rng.sample(range(4, 40), rng.randint(2, 7)))
+        functions = [docpairs.Function(f"f{i}", n, n, n, ["a"]) for i, n in enumerate(lines)]
+        ends = sorted(rng.sample([x for x in range(1, 40) if x not in lines], 6))
+        found = [docpairs.Comment(e, e, rng.choice(["// f1 f2", "// @param a b", "// @param z q", "// words"])) for e in ends]
+
+        def weight(i, j):
+            f, c = functions[i], found[j]
+            gap = f.line - c.last
+            if gap not in (1, 2, 3):
+                return None
+            tags = set(re.findall(r"@param\s+([\w$]+)", c.text))
+            return 10.0 / gap + len(tags & {"a"}) - len(tags - {"a"}) + bool(re.search(rf"\b{f.name}\b", c.text))
+
+        best = 0.0
+        options = [[None, *(j for j in range(len(found)) if (weight(i, j) or 0) > 0)] for i in range(len(functions))]
+        for pick in product(*options):
+            used = [j for j in pick if j is not None]
+            if len(used) == len(set(used)):
+                best = max(best, sum(weight(i, j) for i, j in enumerate(pick) if j is not None))
+        got = docpairs.assign(functions, found)
+        assert len({id(c) for c in got.values()}) == len(got)
+        assert abs(sum(weight(i, found.index(c)) for i, c in got.items()) - best) < 1e-9

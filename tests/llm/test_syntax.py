@@ -124,3 +124,10 @@ def test_table(spark):
     parsed = spark.createDataFrame([("r", "a.py", " PYTHON "), ("r", "b.js", None), ("r", "b.js", "JavaScript")], "repo_path string, file_path string, language string")
     got = {(r.repo_path, r.language): (r.files, r.invalid, r.rate) for r in syntax.invalid_rates(df, parsed).collect()}
     assert got[("r", "python")] == (1, 1, 1.0) and got[("r", "javascript")] == (1, 0, 0.0)
+
+
+@pytest.mark.parametrize(("text", "language"), [("x=" + "[" * 20_000 + "]" * 20_000 + ";", "javascript"), ("f(" * 5_000 + ")" * 5_000, "javascript"), ("[" * 30_000 + "]" * 30_000, "json"), ("x = " + "a ? b : " * 5_000 + "c;", "javascript"), ("var t = " + "`${" * 400 + "1" + "}`" * 400, "javascript")])
+def test_nesting_is_no_error(text, language):
+    from corpuscle.llm.grammars import check
+
+    assert check(text, language).valid and not check(text[:-2] + "(", language).valid

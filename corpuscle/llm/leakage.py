@@ -1,8 +1,9 @@
 """Problem 9: evaluation items repeated in corpus documents.
 
-A BM25 inverted index of the items answers every passage of every document by block-max WAND. An
-item's weights are divided by the least score that a true case of it can have, so one threshold (1)
-holds for all items and loses none; candidates are then verified word by word.
+A BM25 inverted index of the items answers every passage of every document by block-max WAND. Its
+terms are pairs of adjacent words, of which a passage without a leak holds few. An item's weights are
+divided by the least score that a true case of it can have, so one threshold (1) holds for all items
+and loses none; candidates are then verified word by word.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from corpuscle.session import spread
 RUN_WORDS, REPLACED_IN = 13, 8
 K1, B = 1.2, 0.75
 BLOCK = 16
+#: Characters of items in one index; a larger suite is searched in parts.
+SUITE_CHARS = 64 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -30,6 +33,11 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def pairs(w: list[str]) -> list[str]:
+    """The terms of a text: its pairs of adjacent words, or its only word."""
+    return [f"{a} {b}" for a, b in zip(w, w[1:])] or w
+
+
 class ItemIndex:
     """Block-max inverted index of the items with a per-item threshold of 1."""
 
@@ -38,12 +46,13 @@ class ItemIndex:
         self.ids = [i for i, _, _ in kept]
         self.texts = [w for _, w, _ in kept]
         self.answers = [a for _, _, a in kept]
-        df = Counter(t for w in self.texts for t in set(w))
+        df = Counter(t for w in self.texts for t in set(pairs(w)))
         n, mean = len(kept), sum(map(len, self.texts)) / max(len(kept), 1)
+        self.single = {w[0] for w in self.texts if len(w) == 1}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         self.longest = max(map(len, self.texts), default=1)
         for d, w in enumerate(self.texts):
-            tf = Counter(w)
+            tf = Counter(pairs(w))
             weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
             least = self._least(w, weight)
             for t, x in weight.items():
@@ -52,19 +61,22 @@ class ItemIndex:
         self.scores = {t: [x for _, x in p] for t, p in postings.items()}
         self.top = {t: max(s) for t, s in self.scores.items()}
         self.blocks = {t: [(self.docs[t][min(b + BLOCK, len(s)) - 1], max(s[b : b + BLOCK])) for b in range(0, len(s), BLOCK)] for t, s in self.scores.items()}
-        self.runs = [{tuple(w[i : i + RUN_WORDS]) for i in range(len(w) - RUN_WORDS + 1)} for w in self.texts]
+        self.runs: dict[int, set[tuple[str, ...]]] = {}
 
     @staticmethod
     def _least(w: list[str], weight: dict[str, float]) -> float:
-        """The least sum of weights of distinct item words that a passage with a true case must hold."""
-        runs = [sum(weight[t] for t in set(w[i : i + RUN_WORDS])) for i in range(len(w) - RUN_WORDS + 1)]
-        counts = Counter(w)
-        budget, lost = len(w) // REPLACED_IN, 0.0
-        gains = sorted(((weight[t] / c, c, weight[t]) for t, c in counts.items()), reverse=True)
-        for rate, c, x in gains:  # fractional knapsack: never less than what replacing can lose
-            lost += min(budget / c, 1.0) * x if budget > 0 else 0.0
-            budget -= c
-        return max(min([*runs, sum(weight.values()) - lost]), 1e-9)
+        """The least sum of weights of distinct terms that a passage with a true case must hold.
+
+        A replaced word takes the two pairs that it is part of; a pair that the item has c times is lost
+        by c such steps, so the sum of the heaviest steps is never less than what replacing can lose.
+        """
+        terms = pairs(w)
+        runs = [sum(weight[t] for t in set(terms[i : i + RUN_WORDS - 1])) for i in range(len(w) - RUN_WORDS + 1)]
+        counts = Counter(terms)
+        share = [weight[t] / counts[t] for t in terms]
+        steps = sorted((sum(share[max(i - 1, 0) : i + 1]) for i in range(len(w))), reverse=True)
+        whole = sum(weight.values()) - sum(steps[: len(w) // REPLACED_IN])
+        return max(min([*runs, whole]), 1e-9)
 
     def search(self, terms: list[str], threshold: float = 1.0 - 1e-9) -> list[int]:
         """All items whose score on the given distinct terms reaches the threshold (block-max WAND)."""
@@ -125,7 +137,11 @@ class ItemIndex:
     def verify(self, item: int, w: list[str]) -> tuple[int, bool] | None:
         """(longest run found in words, whole item found) if the passage truly leaks the item."""
         text = self.texts[item]
-        n, runs = len(text), self.runs[item]
+        n, runs = len(text), self.runs.get(item)
+        if runs is None:
+            if len(self.runs) > 500:
+                self.runs.clear()
+            runs = self.runs[item] = {tuple(text[i : i + RUN_WORDS]) for i in range(n - RUN_WORDS + 1)}
         found = 0
         if runs:
             at = 0
@@ -150,11 +166,22 @@ class ItemIndex:
     def leaks(self, text: str | None) -> list[tuple[int, int, bool, float]]:
         """(item_id, longest run, whole item, share of the answer's words in the passage) for one text."""
         w = words(text)
-        size = 2 * self.longest
+        docs = self.docs
+        hits = [i for i, t in enumerate(pairs(w)) if t in docs] if len(w) > 1 else []
+        if self.single:
+            hits = sorted({*hits, *(i for i, t in enumerate(w) if t in self.single)})
+        size, at = 2 * self.longest, 0
         best: dict[int, tuple[int, bool, float]] = {}
         for start in range(0, max(len(w) - self.longest, 1), self.longest):
+            while at < len(hits) and hits[at] < start:
+                at += 1
+            if at == len(hits):
+                break
+            if hits[at] >= start + size:
+                continue
             passage = w[start : start + size]
-            for d in self.search(list(dict.fromkeys(passage))):
+            terms = pairs(passage) if len(passage) > 1 else []
+            for d in self.search(list(dict.fromkeys([*terms, *(t for t in passage if t in self.single)]))):
                 got = self.verify(d, passage)
                 if got:
                     answer = self.answers[d]
@@ -171,14 +198,24 @@ _INDEXES: dict[int, ItemIndex] = {}
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, run_words, whole_item, answer_share): every item that a document leaks.
 
-    The items (a held-out suite, small at every corpus size) are collected and broadcast; their
-    number is checked. Documents are cut into passages of twice the longest item that overlap by one
-    item, so any case lies within one passage. Null texts and items without words match nothing; a
-    null doc_id is kept; repeated rows count once. Documents are read once, without a shuffle.
+    The items (a held-out suite, small at every corpus size) are collected and broadcast by parts of at
+    most SUITE_CHARS characters, whatever their number; each part is an index of its own and reads the
+    documents once. Documents are cut into passages of twice the longest item that overlap by one item,
+    so any case lies within one passage. Null texts and items without words match nothing; a null
+    doc_id is kept; repeated rows count once. Documents are not shuffled.
     """
-    rows: list[Row] = items.select("item_id", "text", "answer").filter("item_id is not null").distinct().limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("more than a million evaluation items: split the suite and unite the results")
+    suite = items.select("item_id", "text", "answer").filter("item_id is not null and length(text) > 0").distinct()
+    chars = suite.agg(F.sum(F.length("text") + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
+    parts = math.ceil(max(chars, 1) / SUITE_CHARS)
+    found = None
+    for part in range(parts):
+        got = _leaked(documents, suite.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else suite)
+        found = got if found is None else found.unionByName(got)
+    return found.distinct()
+
+
+def _leaked(documents: DataFrame, suite: DataFrame) -> DataFrame:
+    rows: list[Row] = suite.collect()
     sent = documents.sparkSession.sparkContext.broadcast([(r[0], r[1], r[2]) for r in rows])
 
     def run(doc_ids: list, texts: list) -> dict[str, list]:
@@ -194,7 +231,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
         return out
 
     wanted = documents.select("doc_id", "text").filter(F.length("text") > 0)
-    return map_columns(spread(wanted), ["doc_id", "text"], run, "doc_id bigint, item_id bigint, run_words int, whole_item boolean, answer_share double").distinct()
+    return map_columns(spread(wanted), ["doc_id", "text"], run, "doc_id bigint, item_id bigint, run_words int, whole_item boolean, answer_share double")
 
 
 def leaked_report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -4,6 +4,10 @@ Inverted file of coarse centroids with product-quantised residuals: each query i
 lists nearest to it by asymmetric distance tables, and the best candidates are ranked again by their
 exact distance. Equal vectors are one entry of the index, so copies cost nothing to search.
 
+The number of lists grows with the vectors; beyond a few thousand they are found over centroids of their
+centroids. A list that outgrows its share is divided again in the task that searches it, so a query
+meets about as many vectors at any size.
+
 Lists are packed into groups of bounded size by nearness; a list larger than a group is spread over
 several. A vector is sent once to each group that holds lists it must visit, index and queries of a
 group meet in one task, and only the best of each group are merged.
@@ -12,6 +16,7 @@ group meet in one task, and only the best of each group are merged.
 from __future__ import annotations
 
 import math
+import pickle
 import struct
 from collections.abc import Iterator
 
@@ -25,17 +30,21 @@ from pyspark.sql.types import _parse_datatype_string
 from corpuscle.session import ship_package, spread
 
 K = 5
-#: Vectors of a list on average, most lists, lists visited by a query, vectors in a group, queries in a task.
-PER_LIST, MOST_LISTS, PROBES, GROUP, QUERIES = 256, 4096, 12, 40_000, 120_000
-#: A list is visited only if its centroid is at most this many times as far (squared) as the nearest one.
-REACH = 1.2
-#: Training sample for each embedder (rows by hash), subspaces, codewords, candidates ranked exactly.
-SAMPLE, SUBSPACES, CODEWORDS, RERANK = 40_000, 8, 256, 200
+#: Vectors of a list on average, lists visited by a query, vectors in a group, queries in a task.
+PER_LIST, PROBES, GROUP, QUERIES = 256, 12, 40_000, 120_000
+#: Lists of all embedders together, which bounds what is sent to workers (16 MB for vectors of 64 numbers); of one embedder from which they are found in two steps, over how many centroids of centroids; entries from which a list is divided in its task.
+MOST_LISTS, FLAT_LISTS, TOPS, DIVIDED = 65_536, 4096, 8, 2048
+#: Embedders answered at once.
+EMBEDDERS = 5000
+#: A list is visited only if its centroid is at most this many times as far (squared) as the nearest one, or one of the nearest few: a vector may be alone in its list.
+REACH, LEAST_PROBES = 1.2, 3
+#: Training sample for each embedder (rows by hash; PER_SAMPLE for each list where that is more), subspaces, codewords, candidates ranked exactly.
+SAMPLE, PER_SAMPLE, SUBSPACES, CODEWORDS, RERANK = 40_000, 12, 8, 256, 200
 _BLOCK = 1024
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Lloyd's algorithm from a random start; empty clusters move to far points."""
+    """Lloyd's algorithm from a random start; empty clusters move to random points."""
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, replace=False)].copy()
@@ -74,11 +83,39 @@ class Index:
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.width = sample.shape[1]
-        self.centroids = kmeans(sample, lists).astype(np.float32)
-        rest = sample - self.centroids[nearest(sample, self.centroids, 1)[:, 0]]
+        self.tops: np.ndarray | None = None
+        if lists <= FLAT_LISTS:
+            self.centroids = kmeans(sample, lists).astype(np.float32)
+        else:
+            self.tops = kmeans(sample, math.ceil(math.sqrt(lists)), 6).astype(np.float32)
+            label = nearest(sample, self.tops, 1)[:, 0]
+            parts = [sample[label == g] for g in range(len(self.tops))]
+            live = [g for g, part in enumerate(parts) if len(part)]
+            self.tops = self.tops[live]
+            below = [kmeans(parts[g], max(1, round(lists * len(parts[g]) / len(sample)))) for g in live]
+            self.first = np.r_[0, np.cumsum([len(c) for c in below])]
+            self.centroids = np.concatenate(below).astype(np.float32)
+        rest = sample - self.centroids[self.near(sample, 1)[0][:, 0]]
         self.cuts = np.linspace(0, self.width, min(SUBSPACES, self.width) + 1).astype(int)
         self.books = [kmeans(rest[:20_000, a:b], CODEWORDS, 6).astype(np.float32) for a, b in zip(self.cuts, self.cuts[1:])]
 
+    def near(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, squared distances) of the n nearest lists of each row, nearest first; those of the nearest centroids of centroids where there are such."""
+        if self.tops is None:
+            return nearest(x, self.centroids, n, distances=True)
+        n = min(n, len(self.centroids))
+        tops = nearest(x, self.tops, TOPS)
+        number = np.full((len(x), n), -1, dtype=np.int32)
+        far = np.full((len(x), n), np.inf, dtype=np.float32)
+        for g in np.unique(tops):
+            rows = np.flatnonzero((tops == g).any(1))
+            c, d = nearest(x[rows], self.centroids[self.first[g] : self.first[g + 1]], n, distances=True)
+            both = np.concatenate([far[rows], d], axis=1)
+            names = np.concatenate([number[rows], c + np.int32(self.first[g])], axis=1)
+            order = both.argsort(1, kind="stable")[:, :n]
+            far[rows], number[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        return number, far
+
     def codes(self, rest: np.ndarray) -> list[np.ndarray]:
         """Codeword of each residual in each subspace."""
         return [nearest(rest[:, a:b], book, 1)[:, 0] for (a, b), book in zip(zip(self.cuts, self.cuts[1:]), self.books)]
@@ -99,10 +136,15 @@ def search_group(index: Index, x: np.ndarray, lists: np.ndarray, q: np.ndarray,
     present, first = np.unique(lists, return_index=True)
     bounds = np.r_[first, len(lists)]
     codes = index.codes(x - index.centroids[lists])
-    where = {int(c): j for j, c in enumerate(present)}
+    if (np.diff(bounds) > DIVIDED).any():
+        order, x, codes, present, bounds, probes = divided(order, x, codes, present, bounds, q, probes)
+        where = {(int(c), j - int(np.searchsorted(present, c))): j for j, c in enumerate(present)}
+    else:
+        where = {(int(c), 0): j for j, c in enumerate(present)}
+        probes = [[(int(c), 0) for c in p] for p in probes]
     rows = np.full((len(q), keep), -1, dtype=np.int64)
     dist = np.full((len(q), keep), np.inf)
-    lead = np.array([p[0] if len(p) else -1 for p in probes])
+    lead = np.array([p[0][0] if len(p) else -1 for p in probes])
     by_lead = np.argsort(lead, kind="stable")
     take = min(48, RERANK)
     for a in range(0, len(q), _BLOCK):
@@ -110,7 +152,7 @@ def search_group(index: Index, x: np.ndarray, lists: np.ndarray, q: np.ndarray,
         qb = q[block]
         tables = index.tables(qb)
         pair_q = np.repeat(np.arange(len(block)), [len(probes[i]) for i in block])
-        pair_l = np.array([where.get(int(c), -1) for i in block for c in probes[i]], dtype=np.int64)
+        pair_l = np.array([where.get(c, -1) for i in block for c in probes[i]], dtype=np.int64)
         live = pair_l >= 0
         pair_q, pair_l = pair_q[live], pair_l[live]
         if not len(pair_q):
@@ -151,6 +193,39 @@ def search_group(index: Index, x: np.ndarray, lists: np.ndarray, q: np.ndarray,
     return rows, dist
 
 
+def divided(order: np.ndarray, x: np.ndarray, codes: list[np.ndarray], present: np.ndarray, bounds: np.ndarray, q: np.ndarray, probes: list) -> tuple:
+    """The entries of a group with its large lists divided by local centroids, and the (list, division) pairs that each query visits."""
+    asked: dict[int, list[int]] = {}
+    for i, p in enumerate(probes):
+        for c in p:
+            asked.setdefault(int(c), []).append(i)
+    by, names, cuts = [], [], [0]
+    pairs: list[list[tuple[int, int]]] = [[] for _ in probes]
+    for j, c in enumerate(present):
+        lo, hi = bounds[j], bounds[j + 1]
+        who = asked.get(int(c), [])
+        if hi - lo <= DIVIDED:
+            by.append(np.arange(lo, hi))
+            names.append(c)
+            cuts.append(cuts[-1] + hi - lo)
+            for i in who:
+                pairs[i].append((int(c), 0))
+            continue
+        own = kmeans(x[lo:hi], math.ceil((hi - lo) / PER_LIST), 5)
+        label = nearest(x[lo:hi], own, 1)[:, 0]
+        inside = np.argsort(label, kind="stable")
+        by.append(lo + inside)
+        count = np.bincount(label, minlength=len(own))
+        names += [c] * len(own)
+        cuts += (cuts[-1] + np.cumsum(count)).tolist()
+        if who:
+            visits = nearest(q[who], own, PROBES)
+            for i, v in zip(who, visits):
+                pairs[i] += [(int(c), int(d)) for d in v]
+    new = np.concatenate(by)
+    return order[new], x[new], [t[new] for t in codes], np.array(names), np.array(cuts), pairs
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """Rows of unit length from a list<float> column without nulls, all of one width."""
     flat = np.asarray(column.flatten(), dtype=np.float64)
@@ -184,7 +259,7 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
     take no part, nor do rows with a null chunk_id or embedder_id; vectors of an embedder with another
     width than its commonest are a space of their own. Repeated rows count once. A chunk with fewer
     than k others gets those there are. Every row is indexed and every row is a query; only the
-    centroids and codebooks are fitted on a sample of at most SAMPLE rows an embedder.
+    centroids and codebooks are fitted on a sample, of SAMPLE rows an embedder or PER_SAMPLE a list.
     """
     spark = store.sparkSession
     ship_package(spark)
@@ -194,22 +269,21 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
         .withColumn("space", F.concat_ws(":", "embedder_id", F.size("vector")))
         .withColumn("mark", F.xxhash64("vector"))
     )
-    spaces = {r[0]: r[1] for r in base.groupBy("space").count().limit(10_001).collect()}
-    if len(spaces) > 10_000:
-        raise ValueError("more than 10,000 embedders: search them in several calls")
-    if not spaces:
+    spaces = base.groupBy("space").agg(F.count("*").alias("n"), F.min("mark").alias("least"))
+    number = spaces.count()
+    if not number:
         return spark.createDataFrame([], "embedder_id string, chunk_id string, neighbour string, distance double, rank int")
-    names = sorted(spaces)
-    models: list[Index] = []
-    for space in names:
-        n = spaces[space]
-        share = int(min(1.0, SAMPLE / n) * (1 << 30))
-        drawn = base.filter((F.col("space") == space) & (F.pmod(F.xxhash64("mark", F.lit(11)), F.lit(1 << 30)) < share))
-        got = drawn.dropDuplicates(["mark"]).select("vector").limit(2 * SAMPLE).toArrow()
-        if not got.num_rows:
-            got = base.filter(F.col("space") == space).select("vector").limit(1000).toArrow()
-        models.append(Index(_unit(got.column(0).combine_chunks()), min(MOST_LISTS, max(1, math.ceil(n / PER_LIST)), max(1, got.num_rows // 8))))
-    sent = spark.sparkContext.broadcast((names, models))  # at most MOST_LISTS centroids an embedder
+    if number > EMBEDDERS:
+        parts = math.ceil(1.2 * number / EMBEDDERS)
+        out = None
+        for part in range(parts):
+            some = nearest_neighbours(store.filter(F.pmod(F.xxhash64("embedder_id"), F.lit(parts)) == part), k, probes)
+            out = some if out is None else out.unionByName(some)
+        return out
+    sizes = {r[0]: (r[1], r[2]) for r in spaces.collect()}
+    names = sorted(sizes)
+    models = _fit(base, sizes)
+    sent = spark.sparkContext.broadcast((names, models))  # at most MOST_LISTS centroids, and one an embedder
     stats_schema, sent_schema, solved_schema, near_schema = (_arrow(c) for c in (_STATS, _SENT, _SOLVED, _NEAR))
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[list[str]], np.ndarray, list[np.ndarray]]]:
@@ -228,8 +302,9 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
                         ids[j] = sorted({*ids[j], c})[: k + 1]
                 x = _unit(part.column("vector").take(pa.array(first)))
                 index = sent.value[1][number[name]]
-                near, far = nearest(x, index.centroids, probes, distances=True)
-                visit = [c[d <= REACH * d[0] + 1e-9] for c, d in zip(near, far)]
+                near, far = index.near(x, probes)
+                limit = np.maximum(REACH * far[:, 0] + 1e-9, far[:, min(LEAST_PROBES, far.shape[1]) - 1])
+                visit = [c[(d <= most) & (c >= 0)] for c, d, most in zip(near, far, limit)]
                 yield number[name], marks, [sorted(set(v))[: k + 1] for v in ids], x, visit
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +321,7 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()), pa.array([homes.get(key, 0) for key in keys], pa.int64()), pa.array([asks[key] for key in keys], pa.int64())], schema=stats_schema)
 
     rows = spread(base.select("space", "mark", "chunk_id", "vector"))
-    stats = rows.mapInArrow(measure, _STATS).groupBy("space", "list").agg(F.sum("homes"), F.sum("asks")).collect()  # at most MOST_LISTS rows an embedder
+    stats = rows.mapInArrow(measure, _STATS).groupBy("space", "list").agg(F.sum("homes"), F.sum("asks")).collect()  # a row a list
     packed = spark.sparkContext.broadcast(_pack(models, {(r[0], r[1]): r[2] for r in stats}, {(r[0], r[1]): r[3] for r in stats}))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +399,28 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
     return found.unionByName(_copies(base, k)).select(F.regexp_extract("space", r"^(.*):\d+$", 1).alias("embedder_id"), "chunk_id", "neighbour", "distance", "rank")
 
 
+def _fit(base: DataFrame, sizes: dict[str, tuple[int, int]]) -> list[Index]:
+    """The models of all embedders, by name; each is trained in a task of its own, all in one job."""
+    spark = base.sparkSession
+    total = sum(n for n, _ in sizes.values())
+    lists = {s: max(1, min(math.ceil(n / PER_LIST), n * MOST_LISTS // total)) for s, (n, _) in sizes.items()}
+    rows = [(s, int(min(1.0, max(SAMPLE, PER_SAMPLE * lists[s]) / n) * (1 << 30)), least, lists[s]) for s, (n, least) in sizes.items()]
+    drawn = F.broadcast(spark.createDataFrame(rows, "space string, share bigint, least bigint, lists int"))
+    # the vector of least mark is drawn too, lest an embedder with few different vectors have none
+    sample = base.join(drawn, "space").filter((F.pmod(F.xxhash64("mark", F.lit(11)), F.lit(1 << 30)) < F.col("share")) | (F.col("mark") == F.col("least")))
+    schema = _arrow("space string, model binary")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("mark")
+        x = _unit(table.column("vector").combine_chunks())
+        model = Index(x, min(table.column("lists")[0].as_py(), max(1, len(x) // 8)))
+        return pa.Table.from_pydict({"space": [table.column("space")[0].as_py()], "model": [pickle.dumps(model)]}, schema=schema)
+
+    folded = sample.groupBy("space", "mark").agg(F.first("vector").alias("vector"), F.first("lists").alias("lists"))
+    got = {r[0]: pickle.loads(r[1]) for r in folded.groupBy("space").applyInArrow(run, "space string, model binary").collect()}
+    return [got[s] for s in sorted(sizes)]
+
+
 def _write(near: list[tuple[float, str]]) -> bytes:
     """Neighbours as bytes: a double and a length-prefixed id each."""
     return b"".join(struct.pack("<dH", d, len(b)) + b for d, b in ((d, c.encode()) for d, c in near))

@@ -85,3 +85,24 @@ def test_asymmetric_tables_sum_to_the_decoded_product():
 def test_bytes_round_trip():
     near = [(0.25, "abc"), (1.5, ""), (0.0, "ü")]
     assert list(N._read(N._write(near))) == near
+
+
+@pytest.mark.parametrize(("flat", "divided", "most"), [(4, 10_000, 65_536), (4096, 60, 4), (4, 60, 12)])
+def test_two_levels_and_divided_lists(spark, monkeypatch, flat, divided, most):
+    for name, value in (("FLAT_LISTS", flat), ("DIVIDED", divided), ("MOST_LISTS", most), ("PER_LIST", 100), ("GROUP", 700)):
+        monkeypatch.setattr(N, name, value)
+    x = clustered(1500, 12, 5)
+    rows = [("a", f"{i:05d}", [float(v) for v in x[i]], i) for i in range(len(x))]
+    got = {}
+    for r in sorted(N.nearest_neighbours(spark.createDataFrame(rows, KIND)).collect(), key=lambda r: r["rank"]):
+        got.setdefault((r.embedder_id, r.chunk_id), []).append(r.neighbour)
+    want = brute(rows)
+    assert set(got) == set(want) and all(len(got[k]) == 5 for k in want)
+    assert recall(got, want) > 0.95
+
+
+def test_many_embedders_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "EMBEDDERS", 4)
+    rows = [(f"e{e}", f"c{e}-{i}", [float(i), 1.0, float(e)], i) for e in range(11) for i in range(3)]
+    got = N.nearest_neighbours(spark.createDataFrame(rows, KIND)).collect()
+    assert len(got) == 11 * 3 * 2

@@ -277,7 +277,8 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
         parts = math.ceil(1.2 * number / EMBEDDERS)
         out = None
         for part in range(parts):
-            some = nearest_neighbours(store.filter(F.pmod(F.xxhash64("embedder_id"), F.lit(parts)) == part), k, probes)
+            space = F.concat_ws(":", "embedder_id", F.size("vector"))
+            some = nearest_neighbours(store.filter(F.pmod(F.xxhash64(space, F.lit(number)), F.lit(parts)) == part), k, probes)
             out = some if out is None else out.unionByName(some)
         return out
     sizes = {r[0]: (r[1], r[2]) for r in spaces.collect()}

@@ -36,8 +36,8 @@ PER_LIST, PROBES, GROUP, QUERIES = 256, 12, 40_000, 120_000
 MOST_LISTS, FLAT_LISTS, TOPS, DIVIDED = 65_536, 4096, 8, 2048
 #: Embedders answered at once.
 EMBEDDERS = 5000
-#: A list is visited only if its centroid is at most this many times as far (squared) as the nearest one, or one of the nearest few: a vector may be alone in its list.
-REACH, LEAST_PROBES = 1.2, 3
+#: A list is visited only if its centroid is at most this many times as far (squared) as the nearest one, or if nearer lists hold fewer than so many vectors for each neighbour sought: a vector may be alone in its list.
+REACH, LEAST_MET = 1.2, 4
 #: Training sample for each embedder (rows by hash; PER_SAMPLE for each list where that is more), subspaces, codewords, candidates ranked exactly.
 SAMPLE, PER_SAMPLE, SUBSPACES, CODEWORDS, RERANK = 40_000, 12, 8, 256, 200
 _BLOCK = 1024
@@ -287,8 +287,8 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
     sent = spark.sparkContext.broadcast((names, models))  # at most MOST_LISTS centroids, and one an embedder
     stats_schema, sent_schema, solved_schema, near_schema = (_arrow(c) for c in (_STATS, _SENT, _SOLVED, _NEAR))
 
-    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[list[str]], np.ndarray, list[np.ndarray]]]:
-        """(space, marks, smallest ids, unit vectors, lists to visit) of each batch, equal vectors folded."""
+    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[list[str]], np.ndarray, list[np.ndarray], np.ndarray]]:
+        """(space, marks, smallest ids, unit vectors, lists to visit, lists by nearness) of each batch, equal vectors folded."""
         number = {n: i for i, n in enumerate(sent.value[0])}
         for batch in batches:
             space = np.array(batch.column("space").to_pylist(), dtype=object)
@@ -304,14 +304,13 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
                 x = _unit(part.column("vector").take(pa.array(first)))
                 index = sent.value[1][number[name]]
                 near, far = index.near(x, probes)
-                limit = np.maximum(REACH * far[:, 0] + 1e-9, far[:, min(LEAST_PROBES, far.shape[1]) - 1])
-                visit = [c[(d <= most) & (c >= 0)] for c, d, most in zip(near, far, limit)]
-                yield number[name], marks, [sorted(set(v))[: k + 1] for v in ids], x, visit
+                visit = [c[d <= REACH * d[0] + 1e-9] for c, d in zip(near, far)]
+                yield number[name], marks, [sorted(set(v))[: k + 1] for v in ids], x, visit, near
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes: dict[tuple[int, int], int] = {}
         asks: dict[tuple[int, int], int] = {}
-        for s, _, _, _, visit in prepared(batches):
+        for s, _, _, _, visit, _ in prepared(batches):
             own, n = np.unique([c[0] for c in visit], return_counts=True)
             for c, m in zip(own, n):
                 homes[s, int(c)] = homes.get((s, int(c)), 0) + int(m)
@@ -326,8 +325,12 @@ def nearest_neighbours(store: DataFrame, k: int = K, probes: int = PROBES) -> Da
     packed = spark.sparkContext.broadcast(_pack(models, {(r[0], r[1]): r[2] for r in stats}, {(r[0], r[1]): r[3] for r in stats}))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, marks, ids, x, visit in prepared(batches):
-            first, over, parts, base_task = packed.value[s]
+        for s, marks, ids, x, visit, near in prepared(batches):
+            first, over, parts, base_task, held = packed.value[s]
+            for i, c in enumerate(visit):
+                if held[c].sum() <= LEAST_MET * k:
+                    row = near[i][near[i] >= 0]
+                    visit[i] = row[: max(len(c), int((held[row].cumsum() <= LEAST_MET * k).sum()) + 1)]
             at: list[int] = []
             tasks: list[int] = []
             own: list[list[str] | None] = []
@@ -440,8 +443,8 @@ def _mix(mark: int) -> int:
     return (mark * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 17
 
 
-def _pack(models: list[Index], homes: dict[tuple[int, int], int], asks: dict[tuple[int, int], int]) -> list[tuple[np.ndarray, list[int], list[int], int]]:
-    """For each embedder: first task of each list, over how many tasks it is spread, shares of each task's queries, tasks before.
+def _pack(models: list[Index], homes: dict[tuple[int, int], int], asks: dict[tuple[int, int], int]) -> list[tuple[np.ndarray, list[int], list[int], int, np.ndarray]]:
+    """For each embedder: first task of each list, over how many tasks it is spread, shares of each task's queries, tasks before, vectors of each list.
 
     Lists near each other share a task while together they have at most GROUP vectors; a larger list
     has tasks of its own, each with a part of it. A task with more than QUERIES queries is shared out.
@@ -469,7 +472,7 @@ def _pack(models: list[Index], homes: dict[tuple[int, int], int], asks: dict[tup
                 first[c] = len(load) - 1
                 load[-1] += q
                 room += n[c]
-        out.append((first, over, [max(1, math.ceil(q / QUERIES)) for q in load], before))
+        out.append((first, over, [max(1, math.ceil(q / QUERIES)) for q in load], before, np.array(n)))
         before += len(load)
     return out
 

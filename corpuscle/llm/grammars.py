@@ -1,19 +1,17 @@
-"""Grammars of JavaScript, TypeScript, Go, Java and JSON for :mod:`corpuscle.llm.peg`.
+"""Grammars of JavaScript, TypeScript, Go, Java and JSON for :mod:`corpuscle.llm.peg`; that of Python is in :mod:`.pysyntax`.
 
-They recognise; precedence is not needed for that, so operator chains are flat. Python's own parser is
-a packrat parser made from a parsing-expression grammar and serves for Python.
+They recognise; precedence is not needed for that, so operator chains are flat.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from dataclasses import dataclass
 from functools import cache
 
 from corpuscle.functions import lexing as L
 from corpuscle.functions.lexing import END, partners
+from corpuscle.llm import pysyntax as P
 from corpuscle.llm.peg import Grammar, allow_nesting
 
 _ECMA = """
@@ -306,6 +304,10 @@ def grammar(language: str) -> Grammar:
         special = {"NL": "N[{0}] == '1'", "END": f"K[{{0}}] == {END!r}", "ARROW": "K[{0}] == '(' and M[{0}] >= 0 and " + after, "TYPEARROW": "K[{0}] == '(' and M[{0}] >= 0 and K[M[{0}] + 1] == 'F'"}
         return Grammar(_ECMA + (_TS_ONLY if ts else _JS_ONLY), lits, classes, special)
     end = {"END": f"K[{{0}}] == {END!r}"}
+    if language == "python":
+        ident = "i" + "".join(P.KINDS[w] for w in P.SOFT)
+        classes = {"ID": ident, "STR": "s", "BYTES": "b", "NUM": "n", "AUG": "A", "COMPARE": "C", "BINARY": "OP*+-|@/", "NEWLINE": P.NEWLINE, "INDENT": P.INDENT, "DEDENT": P.DEDENT, "BEGIN": P.BEGIN, "MATCH": "M", "CASE": "K", "TRAILER": ".(["}
+        return Grammar(P.GRAMMAR, P.OPS | P.KINDS, classes, end)
     if language == "go":
         return Grammar(_GO, L._GO_OPS | L.GO_KINDS, {"ID": "i", "STR": "s", "NUM": "n", "ASSIGN": "A", "BIN": "B"}, end)
     if language == "java":
@@ -406,23 +408,37 @@ def check_tokens(text: str, language: str, toks: L.Tokens) -> Verdict:
     return Verdict(False, at, _cause(text, at, misfit >= n))
 
 
+def _check_python(text: str) -> Verdict:
+    """A lexer with logical lines, the grammar of whole files, and of the expressions within formatted strings."""
+    skipped = text.startswith("﻿")
+    body = text[1:] if skipped else text
+    allow_nesting(len(body))
+    toks = P.lex_python(body)
+    g = grammar("python")
+    at = toks.error
+    far = g.parse(toks.kinds, toks.breaks, toks.mate) if at < 0 else -1
+    if far >= 0:
+        at = toks.spans[far][0] if far < len(toks.spans) else len(body)
+    holes = list(toks.holes) if at < 0 else []
+    while holes and at < 0:
+        h = holes.pop(0)
+        holes += h.toks.holes
+        line = f"{P.BEGIN}({h.toks.kinds[:-1]}){P.NEWLINE}{END}"
+        if g.parse(line, "0" * len(line), P.mates(line)) >= 0:
+            at = h.start
+    if at < 0:
+        return Verdict(True)
+    at = min(at + skipped, len(text))
+    return Verdict(False, at, _cause(text, at, toks.error == len(body)))
+
+
 def check(text: str, language: str, jsx: bool = True) -> Verdict:
     """Whether ``text`` is syntactically valid in ``language``.
 
     Empty program texts are valid, an empty JSON text is not. Only syntax counts.
     """
     if language == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text.removeprefix("﻿"))
-            return Verdict(True)
-        except SyntaxError as e:
-            lines = text.split("\n")
-            at = sum(len(x) + 1 for x in lines[: (e.lineno or 1) - 1]) + max((e.offset or 1) - 1, 0)
-            return Verdict(False, min(at, len(text)), _cause(text, min(at, len(text)), "never closed" in str(e) or "unterminated" in str(e)))
-        except (ValueError, RecursionError, MemoryError):
-            return Verdict(False, 0, "syntax")
+        return _check_python(text)
     allow_nesting(len(text))
     return check_tokens(text, language, tokens(text, language, jsx))
 

@@ -131,3 +131,62 @@ def test_nesting_is_no_error(text, language):
     from corpuscle.llm.grammars import check
 
     assert check(text, language).valid and not check(text[:-2] + "(", language).valid
+
+
+PYTHON = [
+    "x: int = 3\n(y): str\na.b[0]: int = f(x=1, *a, **k)\n", "def f(a, /, b=1, *c, d, e=2, **g) -> int: return a; pass\n", "async def f():\n\tasync with a as b, c: await d\n\treturn [x async for x in y if z]\n",
+    "match x:\n    case [1, *rest] | {'a': 1, **k} if y: pass\n    case A.B(c=1) as d:\n        pass\nmatch = case = type = 1\nmatch[0]: int\n", "type A[T: int = str, *U] = list[T]\nclass B[T](C, metaclass=D): ...\n",
+    "f'{a!r:>{w}} {b[\"c\"]} {{x}} {d=} {(lambda q: q)(1)}'\nf'''{\n1}'''\n", "try:\n  pass\nexcept* (A, B) as e: pass\nelse: pass\nfinally: pass\n", "with (open(a) as b, c,): pass\nwith (yield): pass\n", "lambda: (yield)\nprint(*a, *b, c=1, **d)\n",
+    "if (n := 10) > 5 and not a is not b not in c: x = y = yield\n", "@a.b[1](2)\ndef f(): pass\nx = 1 if 2 else 3,\ndel (a, [b]), c.d\n", "עִברִית = 1\nx = 0xFF + 1_0.5e-3j + 0o7 \\\n  - .5\n", "\ufeffx = 1\n", "", "# only a remark", "from . import (a as b, c,)\nfrom ...x import *\nglobal y\n",
+]
+NO_PYTHON = [
+    "f() = 1\n", "def f(a=1, b): pass\n", "x = (1\n", "if x:\npass\n", "  x = 1\n", "def f():\n    a\n  b\n", "print 'x'\n", "f(a=1, b)\n", "x := 1\n", "a = 012\n", "'abc\n", "f'{a'\n", "f'{}'\n", "f'{a b}'\n", "f'{a!x}'\n", "b'é'\n", "'a' b'c'\n", "'\\x1'\n", "'\\N{no such name}'\n",
+    "class A\n  pass\n", "try:\n  pass\n", "else: pass\n", "for x in y: pass\nelif z: pass\n", "a, b += 1\n", "del f()\n", "import a.b as c.d\n", "x = 1 +\n", "lambda *: 1\n", "def f(*): pass\n", "<<<<<<< HEAD\nx = 1\n", "x = 'a\nb'\n", "\tif a:\n        b\n", "x = 1 \\ \n", "match x:\n    pass\n", "except: pass\n", "“x”\n", "[*a for a in b]\n", "return = 1\n", "0_7_\n", "a\0b\n",
+]
+
+
+@pytest.mark.parametrize("text", PYTHON + NO_PYTHON)
+def test_python_grammar_agrees_with_the_interpreter(text):
+    import ast
+
+    from corpuscle.llm.grammars import check
+
+    try:
+        ast.parse(text.removeprefix("\ufeff"))
+        valid = True
+    except (SyntaxError, ValueError):
+        valid = False
+    assert valid is (text in PYTHON) and check(text, "python").valid is valid
+
+
+def test_python_grammar_on_mutations():
+    import ast
+    import glob
+    import random
+    import warnings
+
+    from corpuscle.llm import grammars
+
+    rng = random.Random(7)
+    base = [open(p, encoding="utf-8").read() for p in sorted(glob.glob(f"{grammars.__file__.rsplit('/', 2)[0]}/**/*.py", recursive=True))]
+    for text in base:
+        assert grammars.check(text, "python").valid
+        for _ in range(6):
+            at, kind = rng.randrange(len(text) + 1), rng.choice("dxis")
+            other = {"d": text[:at] + text[at + 1 :], "x": text[:at], "i": text[:at] + rng.choice("()[]{}:,='\"\n #*.@\\") + text[at:], "s": text[:at] + text[at + 1 : at + 2] + text[at : at + 1] + text[at + 2 :]}[kind]
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                try:
+                    ast.parse(other)
+                    valid = True
+                except (SyntaxError, ValueError):
+                    valid = False
+            assert grammars.check(other, "python").valid is valid, (kind, at, other[max(at - 80, 0) : at + 80])
+
+
+def test_python_of_any_depth():
+    from corpuscle.llm.grammars import check
+
+    assert check("x = " + "1 + " * 50_000 + "1\n", "python").valid
+    assert check("x = " + "-" * 50_000 + "1\n", "python").valid
+    assert check("x = " + "a if b else " * 5_000 + "c\n", "python").valid

@@ -23,13 +23,15 @@ OPS |= dict.fromkeys("/", "/") | dict.fromkeys("// % << >> & ^".split(), "O") |
 _OP = "|".join(re.escape(o) for o in sorted(OPS, key=lambda o: -len(o)))
 _NUM = r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*\.?)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?"
 _STR = r"(?P<p>[rRbBuUfF]{0,2})(?P<q>\"\"\"|'''|\"|')"
-_TOKEN = re.compile(rf"[ \t\f]*(?:(?P<nl>\r?\n|\r)|(?P<c>#[^\r\n]*)|(?P<s>{_STR})|(?P<w>(?:[^\W\d]|[^\x00-\x7f])(?:\w|[^\x00-\x7f])*)|(?P<n>{_NUM})|(?P<o>{_OP})|(?P<j>\\(?:\r?\n|\r))|(?P<end>\Z))")
+_TOKEN = re.compile(rf"[ \t\f]*(?:(?P<nl>\r?\n|\r)|(?P<c>#[^\r\n]*)|(?P<s>{_STR})|(?P<w>[A-Za-z_\x80-\U0010ffff][\w\x80-\U0010ffff]*)|(?P<n>{_NUM})|(?P<o>{_OP})|(?P<j>\\(?:\r?\n|\r))|(?P<end>\Z))")
 _REST = {q: re.compile(rf"[^\\{q[0]}\r\n]*(?:\\(?:\r\n|[\s\S])[^\\{q[0]}\r\n]*)*{q}") if len(q) == 1 else re.compile(rf"[^\\{q[0]}]*(?:(?:\\[\s\S]|{q[0]}(?!{q[0] * 2}))[^\\{q[0]}]*)*{q}") for q in ("'", '"', "'''", '"""')}
 #: The prefixes that a string may have, in lower case.
 _PREFIXES = {"", "r", "b", "u", "f", "br", "rb", "fr", "rf"}
 _INDENT = re.compile(r"[ \t\f]*")
 _BLANK = re.compile(r"[ \t\f]*(?:#[^\r\n]*)?(?:\r?\n|\r|\Z)")
 _ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{0,2})|u([0-9a-fA-F]{0,4})|U([0-9a-fA-F]{0,8})|N(\{[^}]*\}?)?|[\s\S])")
+_OCTAL, _WORD_BEHIND = re.compile(r"0[0-9_]+"), re.compile(r"(?:and|else|for|if|in|is|not|or)\b")
+#: Fixed value: brackets that the language's reader takes within each other.
 _DEEPEST = 200
 _LEADS = {KINDS[w] for w in ("if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async")} | {"@"}
 
@@ -173,6 +175,7 @@ class _Lexer:
         levels: list[tuple[int, int]] = [(0, 0)]
         blocks: list[bool] = [False]  # whether a block holds the cases of a match
         fresh, first, after_match = True, 0, False
+        match, words, kind, span = _TOKEN.match, KINDS, self.kinds.append, self.spans.append
         while True:
             if fresh and not depth:
                 b = _BLANK.match(text, at)
@@ -182,14 +185,16 @@ class _Lexer:
                 if at >= n:
                     break
                 lead = _INDENT.match(text, at)
-                width = wide = 0
-                for c in lead[0]:
-                    if c == "\t":
-                        width, wide = width // 8 * 8 + 8, wide + 1
-                    elif c == " ":
-                        width, wide = width + 1, wide + 1
-                    else:
-                        width = wide = 0
+                width = wide = lead.end() - at
+                if lead[0].strip(" "):
+                    width = wide = 0
+                    for c in lead[0]:
+                        if c == "\t":
+                            width, wide = width // 8 * 8 + 8, wide + 1
+                        elif c == " ":
+                            width, wide = width + 1, wide + 1
+                        else:
+                            width = wide = 0
                 if (width, wide) != levels[-1]:
                     if width > levels[-1][0] and wide > levels[-1][1]:
                         levels.append((width, wide))
@@ -206,46 +211,18 @@ class _Lexer:
                             raise _Stop(at)
                 after_match = False
                 at, fresh, first = lead.end(), False, len(self.kinds)
-            m = _TOKEN.match(text, at)
+            m = match(text, at)
             if not m:
                 raise _Stop(_skip(text, at))
-            g = "s" if m["s"] else m.lastgroup
-            if g == "j":
-                at = m.end()
-                if at >= n:
-                    raise _Stop(at)
-                continue
-            if g == "c":
-                at = m.end()
-                continue
-            if g in ("nl", "end"):
-                if not depth:
-                    after_match = self.line(first, m.start(g), m.end(), blocks[-1])
-                    fresh = True
-                if g == "end":
-                    if depth:
-                        raise _Stop(n)
-                    break
-                at = m.end()
-                continue
-            a = m.start(g)
-            if g == "s":
-                end, kind = self.string(m)
-                self.emit(kind, a, end)
-                at = end
-                continue
-            value = m[g]
-            at = m.end()
+            g = m.lastgroup
+            a, at = m.span(g)
             if g == "w":
-                k = KINDS.get(value, "i")
-                if not value.isascii() and not unicodedata.normalize("NFKC", value).isidentifier():
-                    raise _Stop(a)
-            elif g == "n":
-                k = "n"
-                if value[0] == "0" and re.fullmatch(r"0[0-9_]+", value) and value.strip("0_") or text[at : at + 1].isalnum() and not re.compile(r"(?:and|else|for|if|in|is|not|or)\b").match(text, at) or text[at : at + 1] == "_":
+                value = m[g]
+                k = words.get(value, "i")
+                if k == "i" and not value.isascii() and not unicodedata.normalize("NFKC", value).isidentifier():
                     raise _Stop(a)
-            else:
-                k = OPS[value]
+            elif g == "o":
+                k = OPS[m[g]]
                 if k in "([{":
                     depth.append(k)
                     if len(depth) > _DEEPEST:
@@ -253,7 +230,28 @@ class _Lexer:
                 elif k in ")]}":
                     if not depth or "([{".index(depth.pop()) != ")]}".index(k):
                         raise _Stop(a)
-            self.emit(k, a, at)
+            elif g in ("nl", "end"):
+                if not depth:
+                    after_match = self.line(first, a, at, blocks[-1])
+                    fresh = True
+                elif g == "end":
+                    raise _Stop(n)
+                if g == "end":
+                    break
+                continue
+            elif g == "s":
+                at, k = self.string(m)
+            elif g == "n":
+                value, k = m[g], "n"
+                behind = text[at : at + 1]
+                if value[0] == "0" and _OCTAL.fullmatch(value) and value.strip("0_") or behind == "_" or behind.isalnum() and not _WORD_BEHIND.match(text, at):
+                    raise _Stop(a)
+            else:
+                if g == "j" and at >= n:
+                    raise _Stop(at)
+                continue
+            kind(k)
+            span((a, at))
         while len(levels) > 1:
             levels.pop()
             self.emit(DEDENT, n, n)
@@ -301,23 +299,21 @@ def lex_python(text: str) -> Tokens:
 
 def mates(kinds: str) -> list[int]:
     """Partners of brackets, and of the first token of each logical line its end."""
-    out, stack, begin = [-1] * len(kinds), [], -1
-    for i, c in enumerate(kinds):
-        if c in "([{":
-            stack.append(i)
-        elif c in ")]}":
-            if stack:
-                out[stack.pop()] = i
-        elif c == NEWLINE:
-            if begin >= 0:
-                out[begin] = i
-            begin = -1
-            continue
-        if begin < 0 and c not in "ID":
-            begin = i
+    out, stack = [-1] * len(kinds), []
+    for m in _BRACKET.finditer(kinds):
+        if m[0] in "([{":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.start()
+    for m in _LOGICAL.finditer(kinds):
+        out[m.start()] = m.end() - 1
     return out
 
 
+_BRACKET = re.compile(r"[()\[\]{}]")
+_LOGICAL = re.compile(r"[^IDL\0][^L\0]*L")
+
+
 GRAMMAR = """
 File <- Stmt* END
 Stmt <- SimpleLine / If / For / While / Try / With / Def / Class / Decorated / Match

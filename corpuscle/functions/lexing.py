@@ -1,4 +1,4 @@
-"""Lexers for JavaScript, TypeScript, Go, Java and JSON.
+"""The lexer for JavaScript and TypeScript.
 
 A token is (kind, start, end); kinds are single characters so that a file's tokens form a string.
 """
@@ -16,49 +16,35 @@ _OPEN, _CLOSE = "([{", ")]}"
 #: Reserved and contextual words of the languages.
 JS_RESERVED = "break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with enum".split()
 JS_CONTEXT = "let static async await yield of get set as from type interface implements namespace module declare abstract public private protected readonly override accessor keyof infer unique is asserts satisfies global undefined".split()
-GO_WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
-JAVA_RESERVED = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split()
-JAVA_CONTEXT = "record var yield sealed permits non when".split()
 
 
-def _codes(words: list[str], base: int) -> dict[str, str]:
+def codes(words: list[str], base: int) -> dict[str, str]:
+    """A kind of its own for each word."""
     return {w: chr(base + j) for j, w in enumerate(words)}
 
 
-JS_KINDS = _codes(JS_RESERVED + JS_CONTEXT, 0x4E00)
-GO_KINDS = _codes(GO_WORDS, 0x5000)
-JAVA_KINDS = _codes(JAVA_RESERVED + JAVA_CONTEXT, 0x5200)
+JS_KINDS = codes(JS_RESERVED + JS_CONTEXT, 0x4E00)
 
 _STR2 = r'"(?:[^"\\\n]|\\(?:\r\n|[\s\S]))*"'
 _STR1 = r"'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'"
-_NUM = r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?"
+NUMBER = r"0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?"
 _WORD = r"[^\W\d][\w$]*|[$#][\w$]+|\$"
 
 #: Operators that stand for themselves or share a kind.
 JS_OPS = {"=>": "F", "...": "E", "?.": "Q", "++": "U", "--": "U", ">=": "G", "+": "+", "-": "-", "!": "!", "~": "~", "*": "*", "|": "|", "&": "&", "<": "<", ">": ">", "=": "=", "?": "?", ":": ":", ".": ".", ",": ",", ";": ";", "@": "@", "(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}"}
 JS_BINARY = "/ % ** == != === !== <= && || ?? ^ <<".split()
 JS_ASSIGN = "+= -= *= /= %= **= <<= &= |= ^= &&= ||= ??=".split()
-GO_OPS = {":=": "D", "...": "E", "++": "U", "--": "U", "<-": "R", "&": "&", "*": "*", "+": "+", "-": "-", "!": "!", "^": "^", "~": "~", "|": "|", "=": "=", ":": ":", ".": ".", ",": ",", ";": ";", "(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}"}
-GO_BINARY = "/ % == != < <= > >= && || << >> &^".split()
-GO_ASSIGN = "+= -= *= /= %= &= |= ^= <<= >>= &^=".split()
-JAVA_OPS = {"->": "F", "...": "E", "::": "C", "++": "U", "--": "U", ">=": "G", "+": "+", "-": "-", "!": "!", "~": "~", "*": "*", "|": "|", "&": "&", "<": "<", ">": ">", "=": "=", "?": "?", ":": ":", ".": ".", ",": ",", ";": ";", "@": "@", "(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}"}
-JAVA_BINARY = "/ % == != <= && || ^ <<".split()
-JAVA_ASSIGN = "+= -= *= /= %= &= |= ^= <<=".split()
 
 
-def _ops(single: dict[str, str], binary: list[str], assign: list[str]) -> tuple[dict[str, str], str]:
+def operators(single: dict[str, str], binary: list[str], assign: list[str]) -> tuple[dict[str, str], str]:
+    """(kind of each operator, the pattern of all)."""
     table = single | dict.fromkeys(binary, "B") | dict.fromkeys(assign, "A")
     return table, "|".join(re.escape(o) for o in sorted(table, key=lambda o: -len(o)))
 
 
-_JS_OPS, _js = _ops(JS_OPS, JS_BINARY, JS_ASSIGN)
-_GO_OPS, _go = _ops(GO_OPS, GO_BINARY, GO_ASSIGN)
-_JAVA_OPS, _java = _ops(JAVA_OPS, JAVA_BINARY, JAVA_ASSIGN)
+_JS_OPS, _js = operators(JS_OPS, JS_BINARY, JS_ASSIGN)
 _JS_SPACE = r"[ \t\r\f\v﻿ ]"
-_JS = re.compile(rf"{_JS_SPACE}*(?:(?P<nl>\n\s*|[  ])|(?P<w>{_WORD})|(?P<c>//[^\n]*|/\*[\s\S]*?\*/|<!--[^\n]*)|(?P<s>{_STR2}|{_STR1})|(?P<n>{_NUM})|(?P<o>{_js})|(?P<t>`)|(?P<bad>[\s\S])|(?P<end>\Z))", re.U)
-_GO = re.compile(rf"(?P<ws>[ \t\r﻿]+)|(?P<nl>\n)|(?P<w>[^\W\d]\w*)|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n][^'\n]*)')|(?P<n>(?:{_NUM})i?)|(?P<o>{_go})")
-_JAVA = re.compile(rf'(?P<ws>[ \t\r\f﻿]+)|(?P<nl>\n\s*)|(?P<w>[^\W\d]\w*|\$[\w$]*)|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>"""[\s\S]*?(?<!\\)"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\[^\n][^\'\n]*)\')|(?P<n>(?:{_NUM})[lLfFdD]?)|(?P<o>{_java})')
-_JSON = re.compile(r'(?P<ws>[ \t\r\n]+)|(?P<s>"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*")|(?P<n>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<w>true|false|null)|(?P<o>[\[\]{},:])')
+_JS = re.compile(rf"{_JS_SPACE}*(?:(?P<nl>\n\s*|[  ])|(?P<w>{_WORD})|(?P<c>//[^\n]*|/\*[\s\S]*?\*/|<!--[^\n]*)|(?P<s>{_STR2}|{_STR1})|(?P<n>{NUMBER})|(?P<o>{_js})|(?P<t>`)|(?P<bad>[\s\S])|(?P<end>\Z))", re.U)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _TEMPLATE = re.compile(r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`")
 #: After these kinds an operator follows, so that "/" divides and "<" compares.
@@ -352,71 +338,6 @@ def _lex_js(text: str, jsx: bool, start: int, within: _Within | None) -> Tokens:
     return out
 
 
-def lex_go(text: str) -> Tokens:
-    """Go tokens with the semicolons that line ends imply."""
-    out = Tokens()
-    kinds, spans, end, last = [], out.spans, 0, ";"
-    closing = set("ins)]}U") | {GO_KINDS[w] for w in ("break", "continue", "fallthrough", "return")}
-    for m in _GO.finditer(text):
-        if m.start() != end:
-            break
-        g, end = m.lastgroup, m.end()
-        if g == "ws":
-            continue
-        if g == "nl" or g == "c" and (m[0].startswith("//") is False and "\n" in m[0]):
-            if last in closing:
-                kinds.append(";")
-                spans.append(m.span())
-                last = ";"
-            if g == "c":
-                out.comments.append(m.span())
-            continue
-        if g == "c":
-            out.comments.append(m.span())
-            continue
-        k = GO_KINDS.get(m[0], "i") if g == "w" else _GO_OPS[m[0]] if g == "o" else g
-        kinds.append(k)
-        spans.append(m.span())
-        last = k
-    if end != len(text):
-        out.error = end
-    if last in closing:
-        kinds.append(";")
-        spans.append((len(text), len(text)))
-    out.kinds, out.breaks = "".join(kinds) + END, "0" * (len(kinds) + 1)
-    return out
-
-
-def _lex_plain(pattern: re.Pattern, words: dict[str, str], ops: dict[str, str], text: str) -> Tokens:
-    out = Tokens()
-    kinds, spans, end = [], out.spans, 0
-    for m in pattern.finditer(text):
-        if m.start() != end:
-            break
-        g, end = m.lastgroup, m.end()
-        if g in ("ws", "nl"):
-            continue
-        if g == "c":
-            out.comments.append(m.span())
-            continue
-        kinds.append(words.get(m[0], "i") if g == "w" else ops.get(m[0], m[0]) if g == "o" else g)
-        spans.append(m.span())
-    if end != len(text):
-        out.error = end
-    out.kinds, out.breaks = "".join(kinds) + END, "0" * (len(kinds) + 1)
-    return out
-
-
-def lex_java(text: str) -> Tokens:
-    """Java tokens."""
-    return _lex_plain(_JAVA, JAVA_KINDS, _JAVA_OPS, text)
-
-
-def lex_json(text: str) -> Tokens:
-    """JSON tokens (RFC 8259); a leading byte-order mark is passed over."""
-    return _lex_plain(_JSON, {"true": "w", "false": "w", "null": "w"}, {}, text.removeprefix("﻿"))
-
-
 def partners(kinds: str) -> tuple[list[int], int]:
     """For each opening bracket the number of its partner (-1 elsewhere), and the first misfit (-1: none)."""
     out, stack = [-1] * len(kinds), []

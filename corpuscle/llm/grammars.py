@@ -11,6 +11,7 @@ from functools import cache
 
 from corpuscle.functions import lexing as L
 from corpuscle.functions.lexing import END, partners
+from corpuscle.llm import lexers as X
 from corpuscle.llm import pysyntax as P
 from corpuscle.llm.peg import Grammar, allow_nesting
 
@@ -309,11 +310,11 @@ def grammar(language: str) -> Grammar:
         classes = {"ID": ident, "STR": "s", "BYTES": "b", "NUM": "n", "AUG": "A", "COMPARE": "C", "BINARY": "OP*+-|@/", "NEWLINE": P.NEWLINE, "INDENT": P.INDENT, "DEDENT": P.DEDENT, "BEGIN": P.BEGIN, "MATCH": "M", "CASE": "K", "TRAILER": ".(["}
         return Grammar(P.GRAMMAR, P.OPS | P.KINDS, classes, end)
     if language == "go":
-        return Grammar(_GO, L._GO_OPS | L.GO_KINDS, {"ID": "i", "STR": "s", "NUM": "n", "ASSIGN": "A", "BIN": "B"}, end)
+        return Grammar(_GO, X.GO_TABLE | X.GO_KINDS, {"ID": "i", "STR": "s", "NUM": "n", "ASSIGN": "A", "BIN": "B"}, end)
     if language == "java":
-        ident = "i" + "".join(L.JAVA_KINDS[w] for w in L.JAVA_CONTEXT)
-        classes = {"ID": ident, "STR": "s", "NUM": "n", "ASSIGN": "A", "BIN": "BG+-*|&<", "MODWORD": "".join(L.JAVA_KINDS[w] for w in _JAVA_MODS), "PRIMITIVE": "".join(L.JAVA_KINDS[w] for w in _JAVA_PRIMITIVES)}
-        return Grammar(_JAVA, L._JAVA_OPS | L.JAVA_KINDS | {">=": "G"}, classes, end | {"LAMBDA": "K[{0}] == '(' and M[{0}] >= 0 and K[M[{0}] + 1] == 'F'"})
+        ident = "i" + "".join(X.JAVA_KINDS[w] for w in X.JAVA_CONTEXT)
+        classes = {"ID": ident, "STR": "s", "NUM": "n", "ASSIGN": "A", "BIN": "BG+-*|&<", "MODWORD": "".join(X.JAVA_KINDS[w] for w in _JAVA_MODS), "PRIMITIVE": "".join(X.JAVA_KINDS[w] for w in _JAVA_PRIMITIVES)}
+        return Grammar(_JAVA, X.JAVA_TABLE | X.JAVA_KINDS | {">=": "G"}, classes, end | {"LAMBDA": "K[{0}] == '(' and M[{0}] >= 0 and K[M[{0}] + 1] == 'F'"})
     return Grammar(_JSON, {c: c for c in "[]{},:"}, {"STR": "s", "NUM": "n", "WORD": "w"}, end)
 
 
@@ -347,7 +348,7 @@ def tokens(text: str, language: str, jsx: bool = True) -> L.Tokens:
     """Tokens of a text in one of the languages with a grammar here."""
     if language in ("javascript", "typescript"):
         return L.lex_js(text, jsx, holes=True)
-    return {"go": L.lex_go, "java": L.lex_java, "json": L.lex_json}[language](text)
+    return {"go": X.lex_go, "java": X.lex_java, "json": X.lex_json}[language](text)
 
 
 _TYPE_OF = L.JS_KINDS["type"] + "i="

@@ -89,6 +89,10 @@ def test_streaming_upsert(spark, tmp_path):
         upsert_stream(stream, target, "k", str(tmp_path / "cp")).awaitTermination(60)
         got = {(r.k, r.v) for r in spark.read.parquet(f"{target}/v={i}").collect()}
     assert got == {("a", 1), ("b", 3), ("c", 1)}
+    # another checkpoint folder: everything comes again and goes on from what is there
+    (tmp_path / "out" / "v=2").mkdir()  # a version that was never finished
+    upsert_stream(spark.readStream.schema("k string, v int").parquet(source), target, "k", str(tmp_path / "cp2")).awaitTermination(60)
+    assert {(r.k, r.v) for r in spark.read.parquet(f"{target}/v=2").collect()} == {("a", 1), ("b", 3), ("c", 1)}
 
 
 def test_windowed_versions(spark, tmp_path):

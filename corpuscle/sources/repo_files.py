@@ -4,16 +4,20 @@ Spark's own file sources drop names that begin with ``_`` or ``.`` and truncate
 so trees are walked here. Options (all strings): ``path`` (one root, or several separated by a line
 break), ``recursive`` (true), ``ignore`` and ``extensions`` (comma-separated; empty means the
 defaults), ``maxFileSize`` (bytes; 0: none), ``content`` (false), ``readerLimit`` (bytes a file may
-have to be read; 0: none), ``rejectBinary`` (false). Directories are listed level by level until there
-are enough of them for one partition each, so a tree with all its code under one directory is walked
-in parallel too; the paths must be visible to the executors.
+have to be read; 0: none), ``rejectBinary`` (false), ``tasks`` (most partitions; by default four a core).
+Directories are listed level by level until a root has enough of them to be dealt out, so a tree with
+all its code under one directory is walked in parallel too, while many small roots share partitions;
+the paths must be visible to the executors.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
+import stat
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -31,15 +35,17 @@ FILES = "repo_path string, path string, name string, extension string, size bigi
 SOURCES = FILES + ", content string, encoding string, line_count bigint, error string"
 
 
-#: Directories from which a listing is spread: no level below is listed on the driver, and plain files of so many directories share a partition.
-ENOUGH_DIRECTORIES, FLAT_DIRECTORIES = 256, 32
+#: Directories of all roots and of each root from which a listing is dealt out: no level below is listed on the driver. Plain files of so many directories make a partition.
+ENOUGH_DIRECTORIES, ENOUGH_OF_ROOT, FLAT_DIRECTORIES = 256, 16, 32
+#: Rows and characters that a batch has at least, once full.
+BATCH_ROWS, BATCH_CHARS = 4096, 4 << 20
 
 
 class _Part(InputPartition):
-    """Directories of a root: their own files only, or whole subtrees."""
+    """(root, directory, whether with all below) of any roots."""
 
-    def __init__(self, root: str, folders: list[str], deep: bool):
-        self.root, self.folders, self.deep = root, folders, deep
+    def __init__(self, folders: list[tuple[str, str, bool]]):
+        self.folders = folders
 
 
 def extension_of(name: str) -> str:
@@ -70,23 +76,25 @@ class _Reader(DataSourceReader):
         self.content = options.get("content", "false").lower() == "true"
         self.limit = int(options.get("readerlimit", options.get("readerLimit", "0")) or 0)
         self.binary = options.get("rejectbinary", options.get("rejectBinary", "false")).lower() == "true"
+        self.tasks = int(options.get("tasks", "0") or 0) or ENOUGH_DIRECTORIES
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
+        flat: list[tuple[str, str, bool]] = []
+        deep: list[tuple[str, str, bool]] = []
+        enough = max(ENOUGH_DIRECTORIES // max(len(self.roots), 1), ENOUGH_OF_ROOT)
         for root in self.roots:
             if not os.path.exists(root):
                 raise FileNotFoundError(root)
             if not os.path.isdir(root):
                 raise NotADirectoryError(root)
-            flat, level = [], [root]
-            while level and self.recursive and len(level) < ENOUGH_DIRECTORIES:
-                flat += level
+            level = [root]
+            while level and self.recursive and len(level) < enough:
+                flat += [(root, d, False) for d in level]
                 level = [d for folder in level for d in self._inside(folder)]
-            if not self.recursive:
-                flat, level = [root], []
-            out += [_Part(root, flat[i : i + FLAT_DIRECTORIES], False) for i in range(0, len(flat), FLAT_DIRECTORIES)]
-            out += [_Part(root, [d], True) for d in level]
-        return out
+            (deep if self.recursive else flat).extend((root, d, self.recursive) for d in level)
+        # dealt in turn, so neighbours of a large root go to different partitions
+        parts = min(self.tasks, len(deep) + -(-len(flat) // FLAT_DIRECTORIES))
+        return [_Part((deep + flat)[i::parts]) for i in range(parts)]
 
     def _inside(self, folder: str) -> list[str]:
         try:
@@ -94,13 +102,25 @@ class _Reader(DataSourceReader):
         except OSError:
             return []
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        for top in partition.folders:
-            for folder, names in self._walk(top) if partition.deep else self._own(top):
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        kind = _arrow(SOURCES if self.content else FILES)
+        rows: list[tuple] = []
+        chars = 0
+        for root, top, deep in partition.folders:
+            for folder, names in self._walk(top) if deep else self._own(top):
+                inside = os.path.relpath(folder, root).replace(os.sep, "/")
+                inside = "" if inside == "." else inside + "/"
                 for name in sorted(names):
-                    row = self._row(partition.root, folder, name)
-                    if row is not None:
-                        yield row
+                    row = self._row(root, folder, inside, name)
+                    if row is None:
+                        continue
+                    rows.append(row)
+                    chars += len(row[6] or "") if self.content else 0
+                    if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield _batch(rows, kind)
+                        rows, chars = [], 0
+        if rows:
+            yield _batch(rows, kind)
 
     def _own(self, folder: str) -> Iterator[tuple[str, list[str]]]:
         try:
@@ -113,20 +133,31 @@ class _Reader(DataSourceReader):
             dirs[:] = sorted(d for d in dirs if d not in self.ignored)
             yield folder, names
 
-    def _row(self, root: str, folder: str, name: str) -> tuple | None:
-        if extension_of(name) not in self.extensions:
+    def _row(self, root: str, folder: str, inside: str, name: str) -> tuple | None:
+        extension = extension_of(name)
+        if extension not in self.extensions:
             return None
         full = os.path.join(folder, name)
         try:
-            stat = os.stat(full)
+            found = os.stat(full)
         except OSError:
             return None
-        if not os.path.isfile(full) or not wanted_file(name, stat.st_size, self.extensions, self.largest):
+        if not stat.S_ISREG(found.st_mode) or not wanted_file(name, found.st_size, self.extensions, self.largest):
             return None
-        row = (root, os.path.relpath(full, root).replace(os.sep, "/"), name, extension_of(name), stat.st_size, stat.st_mtime)
+        row = (root, inside + name, name, extension, found.st_size, found.st_mtime)
         return row + read_file(full, self.limit, self.binary) if self.content else row
 
 
+def _arrow(schema: str) -> pa.Schema:
+    """A schema of strings and numbers as Arrow's; readers have no session that could parse it."""
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+
+def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+
+
 def read_file(full: str, limit: int = 0, reject_binary: bool = False, encoding: str | None = None) -> tuple[str | None, str | None, int | None, str | None]:
     """(content, encoding, line_count, error) of one file; one that can't be read has null content and its error."""
     try:
@@ -169,7 +200,7 @@ def scan(spark: SparkSession, path: str | list[str], *, content: bool = False, *
     ship_package(spark)
     spark.dataSource.register(RepoFiles)
     roots = [path] if isinstance(path, str) else path
-    reader = spark.read.format("repo_files").option("path", "\n".join(map(normalise_root, roots))).option("content", str(content).lower())
+    reader = spark.read.format("repo_files").option("path", "\n".join(map(normalise_root, roots))).option("content", str(content).lower()).option("tasks", str(4 * spark.sparkContext.defaultParallelism))
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load()
@@ -210,23 +241,36 @@ def write_tree(sources: DataFrame, folder: str) -> int:
     """A sink: write (repo_path, path, content, last_modified) as files under a folder that all executors share.
 
     A null content leaves a link to nowhere, a file that can't be read. Each file must have one row;
-    a task that runs again writes the same. Returns the number of files.
+    a task that runs again writes the same. Rows of neighbouring directories should lie in one partition:
+    tasks that create names in one directory wait for each other. Returns the number of files.
     """
 
     def run(repos: list, paths: list, contents: list, times: list) -> dict[str, list]:
-        for repo, path, content, time in zip(repos, paths, contents, times):
+        made: set[str] = set()
+        for i in sorted(range(len(paths)), key=lambda i: (repos[i], paths[i])):
+            repo, path, content, time = repos[i], paths[i], contents[i], times[i]
             full = os.path.join(folder, repo.lstrip("/"), path)
-            os.makedirs(os.path.dirname(full), exist_ok=True)
+            above = os.path.dirname(full)
+            if above not in made:
+                os.makedirs(above, exist_ok=True)
+                made.add(above)
             if content is None:
                 if not os.path.islink(full):
                     os.symlink("nowhere", full)
                 continue
             staged = f"{full}.{os.getpid()}~"
-            with open(staged, "w", encoding="utf-8", newline="") as f:
-                f.write(content)
+            with open(staged, "wb") as f:
+                f.write(content.encode())
             os.utime(staged, (time or 0, time or 0))
             os.replace(staged, full)
         return {"files": [len(paths)] if paths else []}
 
     columns = ["repo_path", "path", "content", "last_modified"]
     return map_columns(sources.dropna(subset=["repo_path", "path"]), columns, run, "files bigint").groupBy().sum("files").first()[0] or 0
+
+
+def remove_trees(spark: SparkSession, roots: list[str]) -> None:
+    """Remove trees in a folder that all executors share, in tasks."""
+    ship_package(spark)
+    tasks = min(len(roots), 2 * spark.sparkContext.defaultParallelism)
+    spark.sparkContext.parallelize(roots, max(tasks, 1)).foreach(lambda root: shutil.rmtree(root, ignore_errors=True))

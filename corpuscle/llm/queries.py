@@ -107,9 +107,8 @@ def p2_found(spark, sf_dir):
 
 @_query
 def p2_pieces(spark, sf_dir):
-    """The pieces of classes, functions and methods, as new chunks."""
-    elements = table(spark, sf_dir, "elements").filter("type in ('class', 'function', 'method')")
-    return splitting.piece_chunks(splitting.split_oversized(elements)).distinct()
+    """The pieces of all elements that must be cut, of any type, as new chunks."""
+    return splitting.piece_chunks(splitting.split_oversized(table(spark, sf_dir, "elements"))).distinct()
 
 
 ORACLE_SQL["p2_found"] = "SELECT DISTINCT repo_path, path, name, start_line FROM elements WHERE length(content) > 2000"
